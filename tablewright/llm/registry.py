@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import license_scan, quality, sharding, sp_codec, token_counts
+from tablewright.llm import license_scan, quality, secret_scan, sharding, sp_codec, token_counts
 from tablewright.session import read_table
 
 
@@ -17,6 +17,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_quality_rules, op4_sentencepiece, op5_license_scan, op9_sharding, op10_token_counts]
+    own = [op1_secret_scan, op2_quality_rules, op4_sentencepiece, op5_license_scan, op9_sharding, op10_token_counts]
     return {f.__name__: f for f in own}
 
 
