@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import license_scan, quality, secret_scan, sharding, sp_codec, token_counts
+from tablewright.llm import license_scan, quality, secret_scan, sharding, sp_codec, token_counts, url_rules
 from tablewright.session import read_table
 
 
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_texts(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), full=False)
 
@@ -42,7 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_quality_rules, op4_sentencepiece, op5_license_scan, op9_sharding, op10_token_counts]
+    own = [op1_secret_scan, op2_quality_rules, op3_url_filter, op4_sentencepiece, op5_license_scan, op9_sharding, op10_token_counts]
     return {f.__name__: f for f in own}
 
 
