@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import decontaminate, license_scan, quality, secret_scan, sharding, sp_codec, span_dedup, token_counts, url_rules
+from tablewright.llm import decontaminate, jaccard_join, license_scan, quality, secret_scan, sharding, sp_codec, span_dedup, token_counts, url_rules
 from tablewright.session import read_table
 
 
@@ -45,6 +45,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_quality_rules, op3_url_filter, op4_sentencepiece, op5_license_scan, op6_decontamination, op7_substring_dedup, op9_sharding, op10_token_counts]
+    own = [op1_secret_scan, op2_quality_rules, op3_url_filter, op4_sentencepiece, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_jaccard_join, op9_sharding, op10_token_counts]
     return {f.__name__: f for f in own}
 
 
