@@ -333,10 +333,17 @@ def link_classes(
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that name their component, with their columns as they are; of repeated rows one stays.
+    """The documents that name their component, with their columns as they are.
 
-    Documents without an id stay, as nothing tells them apart.
+    Rows that share an id go together; of those that repeat id and text one stays. Rows without an id stay, as no
+    name tells them apart.
     """
-    linked = link_classes(docs, id_col=id_col, **options)
+    linked = durable(link_classes(docs, id_col=id_col, **options).filter(F.col("doc_id").isNotNull()))
     gone = linked.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    out = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    again = linked.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__id")
+    if again.isEmpty():
+        return out
+    text_col = options.get("text_col", "text")
+    one = out.join(again, out[id_col] == again["__id"], "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(again, out[id_col] == again["__id"], "left_anti").unionByName(one)

@@ -57,8 +57,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it builds on the operators of this package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_quality_rules, op3_url_filter, op4_sentencepiece, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_jaccard_join, op9_sharding, op10_token_counts]
+    own = [op1_secret_scan, op2_quality_rules, op3_url_filter, op4_sentencepiece, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_jaccard_join, op9_sharding, op10_token_counts, pipeline]
     return {f.__name__: f for f in own}
 
 
