@@ -1,0 +1,355 @@
+"""Review of read-only SQL on the unresolved plan, without running anything; and guarded execution as an extension.
+
+The parser's tree is reached through py4j, which classic sessions have; on Spark Connect a clear error is raised.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tablewright.functions.exprs import col
+from tablewright.operators.query import RELATION
+
+MOST_CHARS, MOST_NODES = 20_000, 2_000
+SEVERITY = {"high": 25, "medium": 12, "low": 5}
+
+#: Plan nodes that a query may consist of. Anything else (commands, writes, table functions) is refused.
+ALLOWED = {
+    "Project", "Filter", "Aggregate", "UnresolvedHaving", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Union", "Intersect", "Except",
+    "Join", "LateralJoin", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "WithWindowDefinition", "UnresolvedRelation", "OneRowRelation",
+    "UnresolvedInlineTable", "LocalRelation", "Pivot", "Unpivot", "Sample", "UnresolvedHint", "Window", "Generate", "UnresolvedOrderBy", "View", "CTERelationDef",
+}
+
+
+class SqlError(ValueError):
+    """The SQL is refused or can't be read."""
+
+
+@dataclass(frozen=True)
+class Finding:
+    rule: str
+    severity: str
+    title: str
+
+
+@dataclass(frozen=True)
+class PlanStep:
+    node: str
+    meaning: str
+
+
+@dataclass(frozen=True)
+class SqlAnalysis:
+    formatted: str
+    suggested: str
+    score: int
+    clauses: tuple[tuple[str, str], ...]
+    findings: tuple[Finding, ...]
+    plan: str
+    steps: tuple[PlanStep, ...]
+    tables: tuple[str, ...]
+
+
+class Node:
+    """A plan node or an expression of Catalyst, as Python sees it."""
+
+    def __init__(self, java):
+        self.java = java
+        self.name = java.getClass().getSimpleName().rstrip("$")
+
+    def _seq(self, seq) -> list:
+        it = seq.iterator()
+        out = []
+        while it.hasNext():
+            out.append(it.next())
+        return out
+
+    @property
+    def children(self) -> list[Node]:
+        return [Node(x) for x in self._seq(self.java.children())]
+
+    @property
+    def inner(self) -> list[Node]:
+        """Children, inner plans (CTEs, subqueries) and, for plans, expressions."""
+        out = self.children
+        if hasattr(self.java, "expressions") and self.is_plan:
+            out += [Node(x) for x in self._seq(self.java.expressions())]
+        if self.name == "UnresolvedWith":
+            out += [Node(x._2()) for x in self._seq(self.java.cteRelations())]
+        if self.is_subquery:
+            out.append(Node(self.java.plan()))
+        return out
+
+    @property
+    def is_plan(self) -> bool:
+        return "LogicalPlan" in self._bases()
+
+    @property
+    def is_subquery(self) -> bool:
+        return any(x in self.name for x in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"))
+
+    def _bases(self) -> set[str]:
+        out, kind = set(), self.java.getClass()
+        while kind is not None:
+            out.add(kind.getSimpleName())
+            kind = kind.getSuperclass()
+        return out
+
+    def walk(self):
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += node.inner
+
+
+def split_statements(sql: str) -> list[str]:
+    """Statements between semicolons outside quotes and comments."""
+    out, now = [], ""
+    for token in re.findall(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|;|[^'\"`;/-]+|.", sql, re.S):
+        if token == ";":
+            out.append(now)
+            now = ""
+        else:
+            now += token
+    return [s.strip() for s in [*out, now] if s.strip()]
+
+
+def parse(spark, sql: str) -> Node:
+    """The unresolved plan of exactly one read-only query."""
+    if not sql.strip():
+        raise SqlError("there is no SQL")
+    if len(sql) > MOST_CHARS:
+        raise SqlError(f"at most {MOST_CHARS} characters")
+    statements = split_statements(sql)
+    if len(statements) != 1:
+        raise SqlError("exactly one statement is allowed")
+    session = getattr(spark, "_jsparkSession", None)
+    if session is None:
+        raise SqlError("SQL review needs a classic Spark session")
+    try:
+        plan = Node(session.sessionState().sqlParser().parsePlan(statements[0]))
+    except ParseException as error:
+        raise SqlError(str(error).splitlines()[0]) from error
+    count = 0
+    for node in plan.walk():
+        count += 1
+        if count > MOST_NODES:
+            raise SqlError(f"at most {MOST_NODES} parts")
+        if node.is_plan and node.name not in ALLOWED:
+            raise SqlError(f"only read-only queries are allowed, not {node.name}")
+        if node.name in ("NamedParameter", "PosParameter", "UnresolvedTableValuedFunction"):
+            raise SqlError("parameters and table functions are not allowed")
+    return plan
+
+
+def _names(java) -> list[str]:
+    it, out = java.multipartIdentifier().iterator(), []
+    while it.hasNext():
+        out.append(it.next())
+    return out
+
+
+def _ctes(plan: Node) -> set[str]:
+    return {x._1().lower() for n in plan.walk() if n.name == "UnresolvedWith" for x in n._seq(n.java.cteRelations())}
+
+
+def sources(plan: Node, table: str = RELATION) -> list[str]:
+    """Relations that the query reads; others than the table and its own CTEs are refused."""
+    own, out = _ctes(plan), []
+    for node in plan.walk():
+        if node.name == "UnresolvedRelation":
+            names = _names(node.java)
+            if len(names) != 1 or names[0].lower() not in own | {table.lower()}:
+                raise SqlError(f"only {table} can be read, not {'.'.join(names)}")
+            out.append(names[0])
+    return out
+
+
+KEYWORDS = r"WITH|SELECT|FROM|(?:LEFT|RIGHT|FULL|INNER|CROSS|SEMI|ANTI)(?:\s+OUTER)?\s+JOIN|JOIN|WHERE|GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT|UNION(?:\s+ALL)?|INTERSECT|EXCEPT"
+
+
+def format_sql(sql: str) -> str:
+    """Clauses on lines of their own, keywords in capitals, one blank between words, a semicolon at the end. Idempotent."""
+    parts = re.findall(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*\n?|/\*.*?\*/|[^'\"`/-]+|.", sql.strip().rstrip(";").strip(), re.S)
+    out = ""
+    for part in parts:
+        if part[0] in "'\"`" or part.startswith("/*"):
+            out += part
+        elif part.startswith("--"):
+            out += f"/*{part[2:].strip()}*/ "
+        else:
+            out += re.sub(r"\s+", " ", part)
+    marked, depth = "", 0
+    for token in re.findall(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|/\*.*?\*/|[()]|\b(?:" + KEYWORDS + r")\b|[^\s()'\"`]+|\s+|.", out, re.S | re.I):
+        depth += (token == "(") - (token == ")")
+        if re.fullmatch(KEYWORDS, token, re.I) and depth == 0:
+            marked = marked.rstrip() + ("\n" if marked.strip() else "") + re.sub(r"\s+", " ", token).upper()
+        else:
+            marked += re.sub(r"\s+", " ", token.upper() if re.fullmatch(KEYWORDS, token, re.I) else token) if token.strip() else " "
+    return re.sub(r"[ ]+\n", "\n", re.sub(r"(?m)^ +", "", marked)).strip() + ";"
+
+
+def expand_star(plan: Node, sql: str, columns: list[str]) -> str:
+    """The text with a plain ``*`` written out, where that is safe: one SELECT on the table, few columns, no join."""
+    kinds = [n.name for n in plan.walk()]
+    safe = kinds.count("Project") == 1 and kinds.count("UnresolvedRelation") == 1 and not {"Join", "UnresolvedWith", "Union", "Intersect", "Except"} & set(kinds)
+    stars = [n for n in plan.walk() if n.name == "UnresolvedStar"]
+    if not safe or len(stars) != 1 or len(columns) > 50:
+        return sql
+    names = ", ".join("`" + c.replace("`", "``") + "`" for c in columns)
+    return re.sub(r"(?is)^(\s*select\s+)(?:\w+\s*\.\s*)?\*(\s+from\b)", lambda m: m[1] + names + m[2], sql, count=1)
+
+
+CLAUSES = (
+    ("WITH", "UnresolvedWith", "Names intermediate results."), ("SELECT", "Project", "Chooses the output columns."), ("SELECT", "Aggregate", "Chooses groups and their aggregates."),
+    ("DISTINCT", "Distinct", "Removes repeated rows."), ("FROM", "UnresolvedRelation", "Reads the table."), ("JOIN", "Join", "Matches rows of two inputs."),
+    ("WHERE", "Filter", "Keeps rows that fulfil a condition."), ("GROUP BY", "Aggregate", "Forms groups."), ("HAVING", "UnresolvedHaving", "Keeps groups that fulfil a condition."),
+    ("ORDER BY", "Sort", "Sorts the result."), ("LIMIT", "GlobalLimit", "Bounds the number of rows."), ("SET OPERATION", "Union", "Combines results."),
+    ("SET OPERATION", "Intersect", "Keeps rows of both results."), ("SET OPERATION", "Except", "Keeps rows of the first result only."),
+)
+
+
+def explain_clauses(plan: Node) -> tuple[tuple[str, str], ...]:
+    kinds = {n.name for n in plan.walk()}
+    out = dict.fromkeys((clause, text) for clause, node, text in CLAUSES if node in kinds)
+    if "Aggregate" in kinds:
+        out.pop(("SELECT", "Chooses the output columns."), None)
+    return tuple(out)
+
+
+def _primary(plan: Node) -> list[Node]:
+    """The chain of nodes from the top down to the first with several inputs or none."""
+    out, node = [], plan
+    while True:
+        out.append(node)
+        below = node.children
+        if len(below) != 1 or node.name in ("SubqueryAlias", "Union"):
+            return out
+        node = below[0]
+
+
+def lint(df: DataFrame, plan: Node, rows: int | None = None) -> tuple[Finding, ...]:
+    """At most one finding per rule, by severity and rule. Needs the row count and, for a grouping, one distinct count."""
+    found: dict[str, Finding] = {}
+
+    def add(rule: str, severity: str, title: str) -> None:
+        found.setdefault(rule, Finding(rule, severity, title))
+
+    every = list(plan.walk())
+    kinds = [n.name for n in every]
+    chain = _primary(plan)
+    names = [n.name for n in chain]
+    rows = df.count() if rows is None else rows
+    by_size = "medium" if rows > 10_000 else "low"
+    top = next((n for n in chain if n.name in ("Project", "Aggregate")), None)
+    listed = [Node(x) for x in top._seq(top.java.projectList() if top.name == "Project" else top.java.aggregateExpressions())] if top else []
+    if top and top.name == "Project" and any(n.name == "UnresolvedStar" for n in listed):
+        add("explicit-columns", "low", "Name the columns that are needed")
+    limited = "GlobalLimit" in names
+    aggregated = "Aggregate" in names or any(n.name == "UnresolvedFunction" and str(n.java.nameParts()).lower().strip("listarrybufe()[] ").split(",")[-1].strip() in ("count", "sum", "avg", "min", "max", "median") for e in listed for n in e.walk())
+    if top and top.name == "Project" and not limited and not aggregated and "Distinct" not in names:
+        add("unbounded-detail", by_size, "Add a limit to detail rows")
+    if any(n.name == "Distinct" and n.children[0].name != "Union" for n in every):
+        add("distinct-cost", by_size, "DISTINCT compares every row")
+    if any(n.name == "Distinct" and n.children[0].name == "Union" for n in every):
+        add("union-deduplication", "low", "UNION removes repeated rows; UNION ALL does not need to")
+    if "Sort" in names and not limited:
+        add("unbounded-sort", "medium", "A sort without a limit orders all rows")
+    if len(listed) > 15:
+        add("wide-projection", "low", "More than 15 output columns")
+    if "UnresolvedOrdinal" in kinds or any(n.name == "Sort" and any(c.name == "Literal" for o in n._seq(n.java.order()) for c in [Node(o.child())]) for n in every):
+        add("ordinal-order", "low", "Sort by name instead of by position")
+    if rows >= 20 and top and top.name == "Aggregate":
+        for g in top._seq(top.java.groupingExpressions()):
+            g = Node(g)
+            name = _names_of_attribute(g)
+            if name in df.columns and df.agg(F.count_distinct(col(name))).first()[0] / rows >= 0.9:
+                add(f"high-cardinality-group-{name}", "medium", f"Almost every row has its own {name}")
+    if any("Like" in n.name and any(c.name == "Literal" and str(c.java.value()).startswith("%") for c in n.children) for n in every):
+        add("leading-wildcard", "medium", "A pattern that begins with % can't use statistics")
+    if any(n.name == "EqualTo" and any(c.name == "Literal" and c.java.value() is None for c in n.children) for n in every):
+        add("null-comparison", "high", "Nothing equals NULL; use IS NULL")
+    if any(n.name == "Not" and n.children and n.children[0].name.startswith("InSubquery") for n in every):
+        add("not-in-subquery", "high", "NOT IN returns nothing if the subquery has a NULL")
+    conditions = [Node(n.java.condition()) for n in every if n.name == "Filter"]
+    calls = ("UnresolvedFunction", "Cast", "Upper", "Lower", "Substring", "Extract", "UnresolvedExtractValue")
+    if any(x.name in calls and any(y.name == "UnresolvedAttribute" for y in x.walk()) for c in conditions for x in c.walk()):
+        add("function-on-filter-column", "medium", "A function around a filtered column hinders pushdown")
+    if sum(x.name == "Or" for c in conditions for x in c.walk()) >= 3:
+        add("many-or-branches", "low", "Many OR branches; IN may say the same")
+    joins = [n for n in every if n.name == "Join"]
+    for n in joins:
+        kind = n.java.joinType().toString()
+        if kind.startswith("Cross"):
+            add("cross-join", "high", "A cross join pairs all rows")
+        elif n.java.condition().isEmpty() and "Using" not in kind and "Natural" not in kind:
+            add("join-without-condition", "high", "A join without a condition pairs all rows")
+    if joins and kinds.count("UnresolvedRelation") > 1:
+        add("repeated-upload-scan", "medium", "The same table is read more than once")
+    rank = list(SEVERITY)
+    return tuple(sorted(found.values(), key=lambda f: (rank.index(f.severity), f.rule)))
+
+
+def _names_of_attribute(node: Node) -> str | None:
+    if node.name != "UnresolvedAttribute":
+        return None
+    parts = node._seq(node.java.nameParts())
+    return parts[-1]
+
+
+GLOSSARY = {
+    "TakeOrderedAndProject": "keeps the first rows of an order without a full sort", "Sort": "orders rows", "HashAggregate": "aggregates by hash", "ObjectHashAggregate": "aggregates by hash",
+    "SortAggregate": "aggregates sorted rows", "BroadcastHashJoin": "joins with a small side sent to all tasks", "ShuffledHashJoin": "joins by hash after a shuffle",
+    "SortMergeJoin": "joins sorted sides after a shuffle", "BroadcastNestedLoopJoin": "compares all pairs with a small side", "CartesianProduct": "pairs all rows", "Filter": "drops rows",
+    "Project": "computes columns", "FileScan": "reads files", "LocalTableScan": "reads rows held by the plan", "InMemoryTableScan": "reads cached rows", "BatchScan": "reads a source",
+    "Scan": "reads rows", "CollectLimit": "stops after some rows", "LocalLimit": "bounds rows per partition", "GlobalLimit": "bounds rows", "Window": "computes over neighbouring rows",
+    "Union": "appends results", "Exchange": "moves rows between tasks", "BroadcastExchange": "sends rows to all tasks",
+}
+
+
+def plan_steps(plan_text: str) -> tuple[PlanStep, ...]:
+    """The known operators of a formatted plan, in order from the scan up, each once."""
+    out: dict[str, PlanStep] = {}
+    for name in re.findall(r"(?m)^[\s:+*|-]*(?:\* )?(\w+)", plan_text.split("\n\n\n")[0]):
+        if name in GLOSSARY:
+            out.setdefault(name, PlanStep(name, GLOSSARY[name]))
+    return tuple(reversed(out.values()))
+
+
+def analyze(df: DataFrame, sql: str, table: str = RELATION) -> SqlAnalysis:
+    """Everything about a query that can be said without running it."""
+    spark = df.sparkSession
+    plan = parse(spark, sql)
+    tables = sources(plan, table)
+    findings = lint(df, plan)
+    text = split_statements(sql)[0]
+    physical = _planned(df, text, table)._jdf.queryExecution().explainString(_formatted(spark))
+    score = max(0, 100 - sum(SEVERITY[f.severity] for f in findings))
+    return SqlAnalysis(
+        format_sql(text), format_sql(expand_star(plan, text, df.columns)), score, explain_clauses(plan), findings, physical, plan_steps(physical), tuple(dict.fromkeys(tables))
+    )
+
+
+def _formatted(spark):
+    return spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+
+
+def _planned(df: DataFrame, sql: str, table: str) -> DataFrame:
+    df.createOrReplaceTempView(table)
+    try:
+        return df.sparkSession.sql(sql)
+    except (AnalysisException, ParseException) as error:
+        raise SqlError(str(error).splitlines()[0]) from error
+
+
+def run_guarded(df: DataFrame, sql: str, table: str = RELATION) -> DataFrame:
+    """An extension: the query's result, after the same guards."""
+    plan = parse(df.sparkSession, sql)
+    sources(plan, table)
+    return _planned(df, split_statements(sql)[0], table)
