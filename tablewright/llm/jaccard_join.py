@@ -5,12 +5,12 @@ smallest id that links lead to. All links between different sets count, and none
 
 1. Copies. Equal sets are one class, named by a digest of the set; everything after works on classes.
 2. First filter. In the order of shingle hashes, two sets that link have at least min(l(a), l(b)) of their common shingles
-   among the first n - ceil(3n/4) + l(n) of each, l(n) = ceil(n/10) + 1 (or all common ones, where they are fewer). Only these
+   among the first n - ceil(3n/4) + l(n) of each, l(n) = ceil(3n/20) + 1 (or all common ones, where they are fewer). Only these
    prefixes are shuffled; a class stays when enough of its prefix occurs in another class. Shingles that
    several classes of one task share are counted there, so a passage that everybody has is one row per task.
 3. Frequencies. For the classes that stay, shingles are counted, those of one class alone are dropped, and a class with
    fewer than ceil(3n/4) left cannot link. The rest are ordered rare first.
-4. Groups. Under three random orders, classes with the same first shingle meet in blocks of bounded size and are
+4. Groups. Under a few random orders, classes with the same first shingle meet in blocks of bounded size and are
    searched there; links found give provisional components. This step only saves work.
 5. Search. Links can now matter only between different components. Prefixes of length k - ceil(3n/4) + 1 of the rare-first order
    (k shingles are left of n) name, for every class, the blocks of other components that can hold a partner, under the bounds
@@ -89,7 +89,7 @@ def prefix_rows(docs: DataFrame, width: int) -> DataFrame:
                 own: dict[int, np.ndarray] = {}
                 for s in shingle_sets(texts, width):
                     if n := len(s):
-                        own[digest(s)] = s[: min(n, n - (3 * n + 3) // 4 + -(-n // 10) + 1)]
+                        own[digest(s)] = s[: min(n, n - (3 * n + 3) // 4 + -(-3 * n // 20) + 1)]
                 if not own:
                     continue
                 sizes = [len(s) for s in own.values()]
@@ -102,7 +102,8 @@ def prefix_rows(docs: DataFrame, width: int) -> DataFrame:
                 several = np.bincount(group)[group] > 1
                 hit, times = np.unique(digs[several], return_counts=True)
                 marks = np.where(several[first], -1, 0)
-                columns = [np.concatenate([signed(tokens[first]), hit]), np.concatenate([digs[first], hit]), np.concatenate([marks, times])]
+                kept = np.argsort(order[first])  # class by class again, as equal neighbours compress
+                columns = [np.concatenate([signed(tokens[first][kept]), hit]), np.concatenate([digs[first][kept], hit]), np.concatenate([marks[kept], times])]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], ["t", "dig", "c"])
 
     return docs.mapInArrow(run, "t long, dig long, c int")
@@ -142,16 +143,18 @@ def hit_rows(rows: DataFrame) -> DataFrame:
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """dig, n, toks of every document with a shingle."""
+    """id, dig, n, toks of every document with a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in texts_of(batch):
-                sets = [s for s in shingle_sets(texts, width) if len(s)]
+            for start, texts in texts_of(batch):
+                every = shingle_sets(texts, width)
+                held = [i for i, s in enumerate(every) if len(s)]
+                sets = [every[i] for i in held]
                 columns = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["dig", "n", "toks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([start + i for i in held], pa.int64())), *columns], ["id", "dig", "n", "toks"])
 
-    return docs.mapInArrow(run, "dig long, n long, toks array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, dig long, n long, toks array<long>")
 
 
 class Index:
@@ -262,11 +265,15 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def candidates(docs: DataFrame, base: DataFrame, width: int) -> DataFrame:
     """dig, n, toks (rare first, each in two classes at least) of all classes that can link."""
     hits = hit_rows(prefix_rows(docs, width)).groupBy("dig").agg(F.sum("c").alias("hits"))
-    classes = base.filter("n > 0").groupBy("dig").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    need = F.least(F.ceil(F.col("n") * 0.075) + 1, F.floor((3 * F.col("n") + 3) / 4))
-    stay = durable(classes.join(hits, "dig").filter(F.col("hits") >= need).select("dig", F.col("id").alias("rep")))
+    classes = base.filter("n > 0").groupBy("dig").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    need = F.least(F.ceil(F.col("n") * 0.1125) + 1, F.floor((3 * F.col("n") + 3) / 4))
+    stay = durable(classes.join(hits, "dig").filter(F.col("hits") >= need).select("dig", "rep"))
     texts = docs.join(few(stay.select("rep").distinct()), docs["id"].eqNullSafe(F.col("rep")), "left_semi")
-    sets = durable(set_rows(texts, width).join(stay.select("dig"), "dig", "left_semi").dropDuplicates(["dig"]))
+    made = set_rows(texts, width)
+    own = stay.withColumnRenamed("dig", "own")
+    sets = made.join(few(own), made["id"].eqNullSafe(own["rep"]) & (made["dig"] == own["own"]), "left_semi").drop("id")
+    again = base.join(few(own), base["id"].eqNullSafe(own["rep"]) & (base["dig"] == own["own"]), "left_semi").groupBy("id", "dig").count().filter("count > 1")
+    sets = durable(sets if again.isEmpty() else sets.dropDuplicates(["dig"]))
     each = sets.select("dig", F.explode("toks").alias("t"))
     often = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = each.join(often, "t").groupBy("dig").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("toks"))
@@ -279,7 +286,7 @@ def provisional(able: DataFrame, rounds: int) -> DataFrame:
     keyed = able.select("dig", F.explode(F.array(*smallest)).alias("k")).select("dig", "k.r", "k.key")
     crowded = keyed.groupBy("r", "key").agg(F.count(F.lit(1)).alias("size"))
     parts = crowded.filter(F.col("size") > 1).select("r", "key", F.ceil(F.col("size") / BLOCK).alias("parts"))
-    placed = durable(keyed.join(parts, ["r", "key"]).select("dig", F.xxhash64("r", "key", F.pmod(F.xxhash64("dig", "r"), "parts")).alias("g")))
+    placed = durable(keyed.join(few(parts), ["r", "key"]).select("dig", F.xxhash64("r", "key", F.pmod(F.xxhash64("dig", "r"), "parts")).alias("g")))
     return search_groups(able.join(placed, "dig").withColumn("kind", F.lit(0)))
 
 
@@ -288,7 +295,7 @@ def _salted(r: int):
 
 
 def link_classes(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, rounds: int = 3
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, rounds: int = 2
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
