@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import mix, signed, texts_of, word_codes, word_hashes
+from tablewright.llm.common import durable, mix, signed, texts_of, word_codes, word_hashes
 
 SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?]+(?=[^\s.!?]))*(?:[.!?]+(?=\s|$)|\n|$)")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -127,6 +127,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = span_rows(plain, least_words, piece)
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "s")
     twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first.id", "first.s").toDF("h", "first_id", "first_s")
+    twice = durable(twice)  # so that the join has a shuffle of its own on either side, of which Spark splits hot keys
     again = rows.join(twice, "h").filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("s") == F.col("first_s"))))
     found = again.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_docs"))
     found = found.withColumn("spans", merged(F.col("spans")))
