@@ -1,15 +1,14 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
 Texts and benchmark items are lower-cased and cut into words at blanks; their shingles are five words (all words of an item
-that has fewer). A window is as many words of a document as an item has. Windows are laid where a document and
-an item have a shingle in common, so that this shingle has the same place in both: a window without one has
-similarity 0 and need not be made, and one that qualifies keeps at least six sevenths of its shingles in one or two
-alignments, whose windows are all made.
+that has fewer). A window is as many words of a document as an item has, cut off at the text's ends. Windows are laid where
+a document and an item have a shingle in common, so that this shingle has the same place in both; where the document
+has fewer of the item's shingles than the threshold's share, no window can qualify and none is made.
 
-Each window and item gets a 64-bit SimHash of its shingles, a shingle weighing as often as it stands there. The four
-16-bit blocks of an item's fingerprint are posted under every value within Hamming distance ``radius // 4``, so that
-by the pigeonhole principle every fingerprint within ``radius`` shares at least one posted block. The pairs found
-within the radius are verified: the weighted Jaccard similarity of both multisets of shingles must reach the threshold.
+Each window and item gets a 64-bit SimHash of its shingles, a shingle weighing as often as it stands there. The five
+blocks (of 13 and 12 bits) of an item's fingerprint are posted under every value within Hamming distance ``radius // 5``, so
+that by the pigeonhole principle every fingerprint within ``radius`` shares at least one posted block. Of pairs at
+the threshold itself fewer than one in two thousand lie beyond the radius of 24. The pairs found within it are verified: the weighted Jaccard similarity of both multisets of shingles must reach the threshold.
 
 A benchmark's shingles are broadcast only while they are few (counted first, ``BROADCAST_ROWS``); beyond that the joins
 are shuffled.
@@ -30,6 +29,8 @@ from tablewright.llm.secret_scan import let
 #: Shingles of the benchmark, or documents with a hit, that are still broadcast: 24 bytes each, so 12 MB.
 BROADCAST_ROWS = 500_000
 WIDTH = 5
+#: Blocks of a fingerprint and their bits; the last has what is left of 64.
+BLOCKS, BITS = 5, 13
 
 
 def words_of(text: Column) -> Column:
@@ -53,8 +54,9 @@ def fingerprint(hashes: Column) -> Column:
 
 
 def blocks(fp: Column) -> Column:
-    """The four 16-bit blocks of a fingerprint as structs of place and value."""
-    return F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, 16 * b).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("value")) for b in range(4)))
+    """The blocks of a fingerprint as structs of place and value."""
+    value = lambda b: F.shiftrightunsigned(fp, BITS * b).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    return F.array(*(F.struct(F.lit(b).alias("block"), value(b).alias("value")) for b in range(BLOCKS)))
 
 
 def similarity(left: Column, right: Column) -> Column:
@@ -82,7 +84,7 @@ def doc_shingles(words: Column, width: int) -> Column:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    threshold: float = 0.75, radius: int = 19,
+    threshold: float = 0.75, radius: int = 24,
 ) -> DataFrame:
     """doc_id, item_id, similarity, first_word and distance of the best window for every document and item that match."""
     spark = docs.sparkSession
@@ -103,9 +105,9 @@ def find_leaks(
         hits = places.join(hint(posted), "h").select("id", "item", (F.col("pos") - F.col("at")).alias("start"))
         found = hits if found is None else found.unionByName(hits)
     starts = found.groupBy("id", "item", "start").agg(F.count(F.lit(1)).alias("common"))
-    # A window of n shingles reaches the threshold only with 2n * t / (1 + t) in common, whatever their alignment.
+    # No window reaches the threshold without that share of the item's shingles, whatever their alignment.
     size = items.select("item", "n", "width", F.size("sh").alias("m"))
-    need = F.ceil(F.col("m") * (2 * threshold / (1 + threshold)) - 1e-9)
+    need = F.ceil(F.col("m") * threshold - 1e-9)
     likely = starts.groupBy("id", "item").agg(F.sum("common").alias("common"), F.collect_list("start").alias("starts"))
     likely = durable(likely.join(hint(size), "item").filter(F.col("common") >= need))
     windows = likely.withColumn("size", F.col("n")).select("id", "width", "size", F.explode("starts").alias("start")).distinct()
@@ -121,21 +123,21 @@ def find_leaks(
         cut = own.select("id", "sh", F.explode("windows").alias("w"))
         first = F.greatest(F.col("w.start"), F.lit(0))
         last = F.least(F.col("w.start") + F.col("w.size") - width, F.size("sh") - 1)
-        part = cut.select("id", F.lit(width).alias("width"), first.alias("first"), F.when(last >= first, F.slice("sh", first + 1, last - first + 1)).otherwise(F.array().cast("array<bigint>")).alias("win")).filter(F.size("win") > 0)
+        part = cut.select("id", F.lit(width).alias("width"), F.col("w.size").alias("size"), first.alias("first"), F.when(last >= first, F.slice("sh", first + 1, last - first + 1)).otherwise(F.array().cast("array<bigint>")).alias("win")).filter(F.size("win") > 0)
         made = part if made is None else made.unionByName(part)
-    made = durable(made.withColumn("key", F.xxhash64("width", "win")).distinct())
-    prints = made.groupBy("key", "width").agg(F.first("win").alias("win")).withColumn("fp", fingerprint(F.col("win")))
+    made = durable(made.withColumn("key", F.xxhash64("width", "size", "win")).distinct())
+    prints = made.groupBy("key", "width", "size").agg(F.first("win").alias("win")).withColumn("fp", fingerprint(F.col("win")))
     prints = durable(prints)
 
-    # Multi-index Hamming: items are posted under all block values within radius // 4 of their own.
+    # Multi-index Hamming: items are posted under all block values within radius // BLOCKS of their own.
     marked = items.withColumn("item_fp", fingerprint(F.col("sh")))
-    masks = F.filter(F.sequence(F.lit(0), F.lit(0xFFFF)), lambda m: F.bit_count(m) <= radius // 4)
-    posted = marked.select("item", F.col("width").alias("item_width"), "item_fp", F.explode(blocks(F.col("item_fp"))).alias("b"))
-    posted = posted.select("item", "item_width", "item_fp", "b.block", F.explode(masks).alias("mask"), F.col("b.value").alias("own"))
-    posted = posted.select("item", "item_width", "item_fp", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-    asked = prints.select("key", "width", "fp", F.explode(blocks(F.col("fp"))).alias("b")).select("key", "width", "fp", "b.block", "b.value")
+    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << BITS) - 1)), lambda m: F.bit_count(m) <= radius // BLOCKS)
+    posted = marked.select("item", F.col("n").alias("size"), "item_fp", F.explode(blocks(F.col("item_fp"))).alias("b"))
+    posted = posted.select("item", "size", "item_fp", "b.block", F.explode(masks).alias("mask"), F.col("b.value").alias("own"))
+    posted = posted.select("item", "size", "item_fp", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+    asked = prints.select("key", "size", "fp", F.explode(blocks(F.col("fp"))).alias("b")).select("key", "size", "fp", "b.block", "b.value")
     away = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    close = asked.join(posted, ["block", "value"]).filter((F.col("width") == F.col("item_width")) & (away <= radius)).select("key", "item", away.alias("distance")).distinct()
+    close = asked.join(posted, ["size", "block", "value"]).filter(away <= radius).select("key", "item", away.alias("distance")).distinct()
 
     alike = similarity(F.col("win"), F.col("sh"))
     verified = close.join(prints.select("key", "win"), "key").join(items.select("item", "sh"), "item").select("key", "item", "distance", alike.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
