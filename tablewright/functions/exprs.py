@@ -48,8 +48,11 @@ def strip(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """For comparing without case; the upper-case step joins letters such as sharp s and ss."""
-    return F.lower(F.upper(c))
+    """For comparing without case; the upper-case step joins letters such as sharp s and ss.
+
+    The concatenation keeps the optimizer from dropping that step.
+    """
+    return F.lower(F.concat(F.upper(c), F.lit("")))
 
 
 def is_blank(c: Column) -> Column:

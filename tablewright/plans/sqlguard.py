@@ -206,6 +206,7 @@ def expand_star(plan: Node, sql: str, columns: list[str]) -> str:
     return re.sub(r"(?is)^(\s*select\s+)(?:\w+\s*\.\s*)?\*(\s+from\b)", lambda m: m[1] + names + m[2], sql, count=1)
 
 
+AGGREGATES = {"count", "sum", "avg", "mean", "min", "max", "median", "stddev", "variance", "percentile", "approx_count_distinct"}
 CLAUSES = (
     ("WITH", "UnresolvedWith", "Names intermediate results."), ("SELECT", "Project", "Chooses the output columns."), ("SELECT", "Aggregate", "Chooses groups and their aggregates."),
     ("DISTINCT", "Distinct", "Removes repeated rows."), ("FROM", "UnresolvedRelation", "Reads the table."), ("JOIN", "Join", "Matches rows of two inputs."),
@@ -252,7 +253,8 @@ def lint(df: DataFrame, plan: Node, rows: int | None = None) -> tuple[Finding, .
     if top and top.name == "Project" and any(n.name == "UnresolvedStar" for n in listed):
         add("explicit-columns", "low", "Name the columns that are needed")
     limited = "GlobalLimit" in names
-    aggregated = "Aggregate" in names or any(n.name == "UnresolvedFunction" and str(n.java.nameParts()).lower().strip("listarrybufe()[] ").split(",")[-1].strip() in ("count", "sum", "avg", "min", "max", "median") for e in listed for n in e.walk())
+    calls_of = lambda e: (n._seq(n.java.nameParts())[-1].lower() for n in e.walk() if n.name == "UnresolvedFunction")
+    aggregated = "Aggregate" in names or any(call in AGGREGATES for e in listed for call in calls_of(e))
     if top and top.name == "Project" and not limited and not aggregated and "Distinct" not in names:
         add("unbounded-detail", by_size, "Add a limit to detail rows")
     if any(n.name == "Distinct" and n.children[0].name != "Union" for n in every):
