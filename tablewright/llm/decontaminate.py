@@ -137,7 +137,8 @@ def find_leaks(
     posted = posted.select("item", "size", "item_fp", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
     asked = prints.select("key", "size", "fp", F.explode(blocks(F.col("fp"))).alias("b")).select("key", "size", "fp", "b.block", "b.value")
     away = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    close = asked.join(posted, ["size", "block", "value"]).filter(away <= radius).select("key", "item", away.alias("distance")).distinct()
+    # The index is far larger than its estimate: a merge join, as a broadcast of it would have no bound.
+    close = asked.join(posted.hint("merge"), ["size", "block", "value"]).filter(away <= radius).select("key", "item", away.alias("distance")).distinct()
 
     alike = similarity(F.col("win"), F.col("sh"))
     verified = close.join(prints.select("key", "win"), "key").join(items.select("item", "sh"), "item").select("key", "item", "distance", alike.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
