@@ -18,6 +18,8 @@ from tablewright.functions.exprs import DATE_START, col, finite, is_numeric, is_
 
 #: Texts per column that are looked at for dates.
 SAMPLE = 100
+#: Rows that are looked at first for these and for examples.
+HEAD = 1_000
 
 
 @dataclass
@@ -66,23 +68,35 @@ class TableStats:
     def rows(self) -> int:
         return self.plain["rows"]
 
-    def values(self) -> DataFrame:
+    def long(self, names: list[str]) -> DataFrame:
+        """ROW_KEY, column, value: the non-null values of some columns as text."""
+        pairs = F.array(*(F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("value")) for n in names))
+        made = self.data.frame.select(ROW_KEY, F.explode(pairs).alias("p"))
+        return made.select(ROW_KEY, "p.column", "p.value").filter(F.col("value").isNotNull())
+
+    def values(self, names: list[str] | None = None) -> DataFrame:
         """column, value, n, first: every distinct non-null value with its count and the place where it is first seen."""
-        pairs = F.array(*(F.struct(F.lit(name).alias("column"), col(name).cast("string").alias("value")) for name in self.fields))
-        long = self.data.frame.select(ROW_KEY, F.explode(pairs).alias("p")).select(ROW_KEY, "p.column", "p.value").filter(F.col("value").isNotNull())
-        return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_KEY).alias("first"))
+        return self.long(names or list(self.fields)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_KEY).alias("first"))
+
+    @cached_property
+    def head(self) -> dict[str, list[str]]:
+        """The non-null values of the first HEAD rows as text, by column: a top-k, whatever the size of the table."""
+        first = self.data.frame.orderBy(ROW_KEY).limit(HEAD).select(*(col(n).cast("string").alias(f"c{i}") for i, n in enumerate(self.fields)))
+        rows = first.collect()
+        return {n: [r[i] for r in rows if r[i] is not None] for i, n in enumerate(self.fields)}
 
     @cached_property
     def distinct(self) -> dict[str, tuple[int, list[str]]]:
         """Distinct non-null values and the first three of them, by column."""
-        values = self.values()
-        counts = {r["column"]: r["d"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
-        order = Window.partitionBy("column").orderBy("first")
-        shown = values.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("column", "rank", F.substring("value", 1, 60).alias("value"))
-        examples: dict[str, list[str]] = {}
-        for r in sorted(shown.collect(), key=lambda r: r["rank"]):
-            examples.setdefault(r["column"], []).append(r["value"])
-        return {name: (counts.get(name, 0), examples.get(name, [])) for name in self.fields}
+        counts = {r["column"]: r["d"] for r in self.values().groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+        examples = {n: list(dict.fromkeys(values))[:3] for n, values in self.head.items()}
+        if late := [n for n in self.fields if len(examples[n]) < min(3, counts.get(n, 0))]:  # seen first behind the head
+            order = Window.partitionBy("column").orderBy("first")
+            shown = self.values(late).withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("column", "rank", "value")
+            examples |= {n: [] for n in late}
+            for r in sorted(shown.collect(), key=lambda r: r["rank"]):
+                examples[r["column"]].append(r["value"])
+        return {n: (counts.get(n, 0), [x[:60] for x in examples[n]]) for n in self.fields}
 
     @cached_property
     def numbers(self) -> dict[str, dict]:
@@ -110,11 +124,15 @@ class TableStats:
     def dates(self) -> dict[str, tuple[float, float]]:
         """Share of the first SAMPLE texts that parse as dates, and that look like dates, by text column."""
         names = [n for n, k in self.fields.items() if is_text(k)]
-        if not names:
+        spark = self.data.frame.sparkSession
+        sparse = [n for n in names if len(self.head[n]) < min(SAMPLE, self.rows - self.plain[f"n{list(self.fields).index(n)}"])]
+        rows = [(n, v) for n in names if n not in sparse for v in self.head[n][:SAMPLE]]
+        first = spark.createDataFrame(rows, "column string, value string").coalesce(1)
+        if sparse:  # their first values stand behind the head
+            ranked = self.long(sparse).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(ROW_KEY))).filter(F.col("rank") <= SAMPLE)
+            first = first.unionByName(ranked.select("column", "value"))
+        if not rows and not sparse:
             return {}
-        pairs = F.array(*(F.struct(F.lit(n).alias("column"), col(n).alias("value")) for n in names))
-        long = self.data.frame.select(ROW_KEY, F.explode(pairs).alias("p")).select(ROW_KEY, "p.column", "p.value").filter(F.col("value").isNotNull())
-        first = long.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(ROW_KEY))).filter(F.col("rank") <= SAMPLE)
         parsed = to_timestamp(F.col("value"), T.StringType()).isNotNull().cast("double")
         shaped = strip(F.col("value")).rlike(DATE_START).cast("double")
         return {r["column"]: (r["parsed"], r["shaped"]) for r in first.groupBy("column").agg(F.avg(parsed).alias("parsed"), F.avg(shaped).alias("shaped")).collect()}

@@ -368,3 +368,13 @@ def test_advisor(customers):
     with pytest.raises(advisor.AdvisorError):
         advisor.check_endpoint("http://x.test", "m")
     advisor.check_endpoint("http://localhost:1", "m")
+
+
+def test_examples_and_dates_behind_the_head(spark):
+    n = F.col("id")
+    df = spark.range(3000).select(
+        F.when(n >= 2000, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 300).cast("int")), "yyyy-MM-dd")).alias("day"), F.when(n < 1500, F.lit("a")).otherwise(F.concat(F.lit("b"), n % 4)).alias("k")
+    )
+    stats = TableStats(from_frame(df.coalesce(1)))
+    assert stats.columns["day"].examples == ["2024-07-19", "2024-07-20", "2024-07-21"] and stats.columns["day"].parse_rate == 1.0
+    assert stats.columns["k"].examples == ["a", "b0", "b1"] and stats.columns["k"].distinct == 5
