@@ -10,11 +10,21 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python worker holds in flat arrays at a time.
 CHUNK_BYTES = 4 << 20
 
 
+#: Rows of ids and numbers (8 to 24 bytes each) that are still broadcast, after they were counted.
+BROADCAST_ROWS = 300_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast while its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's, or a new one where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -36,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import durable, signed, texts_of, window_hashes, word_codes, word_hashes
+from tablewright.llm.common import durable, few, signed, texts_of, window_hashes, word_codes, word_hashes
 from tablewright.llm.components import components
 
-#: Rows that are still broadcast (8 to 24 bytes each), classes per block, and queries per block and task.
-BROADCAST_ROWS, BLOCK, QUERIES = 300_000, 192, 512
+#: Classes per block, and queries per block and task.
+BLOCK, QUERIES = 192, 512
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -257,11 +257,6 @@ def search_groups(rows: DataFrame) -> DataFrame:
     return rows.select("g", "kind", "dig", "n", "toks").repartition("g").sortWithinPartitions("g", "kind").mapInArrow(run, "a long, b long")
 
 
-def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast while its counted rows are few."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def candidates(docs: DataFrame, base: DataFrame, width: int) -> DataFrame:
     """dig, n, toks (rare first, each in two classes at least) of all classes that can link."""
     hits = hit_rows(prefix_rows(docs, width)).groupBy("dig").agg(F.sum("c").alias("hits"))
@@ -306,8 +301,8 @@ def link_classes(
     found = able.join(labels.withColumnRenamed("node", "dig"), "dig", "left").withColumn("comp", F.coalesce("component", "dig")).drop("component")
 
     # Blocks: at most about BLOCK classes of one component.
-    sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("csize"))
-    mine = found.select("dig", "n", "comp", F.size("toks").alias("k"), F.slice("toks", 1, (F.size("toks") - F.floor((3 * F.col("n") + 3) / 4) + 1).cast("int")).alias("prefix")).join(sizes, "comp")
+    sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("csize")).filter("csize > 1")
+    mine = found.select("dig", "n", "comp", F.size("toks").alias("k"), F.slice("toks", 1, (F.size("toks") - F.floor((3 * F.col("n") + 3) / 4) + 1).cast("int")).alias("prefix")).join(few(sizes), "comp", "left").fillna(1, ["csize"])
     block = F.xxhash64("comp", F.pmod(F.xxhash64("dig"), F.ceil(F.col("csize") / BLOCK)))
     mine = durable(mine.withColumn("block", block))
     posts = mine.select("dig", "n", "k", "comp", "csize", "block", F.posexplode("prefix").alias("pos", "t"))

@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablewright.llm import bpe, components, decontaminate, jaccard_join, license_scan, quality, secret_scan, sharding, sp_codec, span_dedup, token_counts, url_rules
+from tablewright.llm import bpe, common, components, decontaminate, jaccard_join, license_scan, quality, secret_scan, sharding, sp_codec, span_dedup, token_counts, url_rules
 from tests.conftest import SF
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -436,7 +436,8 @@ def test_components_without_the_quick_step(spark, monkeypatch):
     """The search alone finds all links, also with small blocks and without broadcasts."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     monkeypatch.setattr(jaccard_join, "QUERIES", 5)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
     rows = join_rows()[:260]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     none = lambda able, rounds: spark.createDataFrame([], "a long, b long")
