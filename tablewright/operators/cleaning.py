@@ -136,22 +136,21 @@ def category_spellings(df: DataFrame, name: str) -> DataFrame:
     return keyed.withColumn("variants", F.count(F.lit(1)).over(own)).withColumn("canonical", best).filter("variants > 1")
 
 
-def _text_facts(df: DataFrame, names: list[str]) -> dict[str, dict]:
-    """Counts and tests of all text columns, in one aggregate."""
-    aggs = []
-    for i, name in enumerate(names):
-        c, s = col(name), strip(col(name))
-        full = s != ""
-        aggs += [
-            F.count_if(c != s).alias(f"padded{i}"), F.count_if(s == "").alias(f"blank{i}"), F.count_if(full).alias(f"full{i}"),
-            F.count_distinct(F.when(full, s)).alias(f"values{i}"), F.count_distinct(F.when(full, fold(s))).alias(f"folds{i}"),
-            F.coalesce(F.bool_and(F.when(full, s.rlike(PLAIN_NUMBER))), F.lit(False)).alias(f"plain{i}"),
-            F.coalesce(F.bool_or(F.when(full, s.rlike(LEADING_ZERO))), F.lit(False)).alias(f"zero{i}"),
-            F.avg(F.when(full, s.rlike(DATE_SHAPE).cast("int"))).alias(f"shape{i}"),
-            F.coalesce(F.bool_and(F.when(full, to_timestamp(c, T.StringType()).isNotNull())), F.lit(False)).alias(f"dates{i}"),
-        ]
-    row = df.agg(*aggs).first().asDict() if aggs else {}
-    return {n: {k: row[f"{k}{i}"] for k in ("padded", "blank", "full", "values", "folds", "plain", "zero", "shape", "dates")} for i, n in enumerate(names)}
+def _text_facts(stats: TableStats, names: list[str]) -> dict[str, dict]:
+    """Counts and tests of all text columns in one job; patterns are tried once per distinct value, counts weigh them."""
+    if not names:
+        return {}
+    c, n = F.col("value"), F.col("n")
+    known = stats.values(names).withColumn("s", strip(c)).withColumn("full", F.col("s") != "")
+    s, full = F.col("s"), F.col("full")
+    times = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+    every = lambda test: F.coalesce(F.bool_and(F.when(full, test)), F.lit(False))
+    facts = known.groupBy("column").agg(
+        times(c != s).alias("padded"), times(~full).alias("blank"), times(full).alias("full"), F.count_distinct(F.when(full, s)).alias("values"),
+        F.count_distinct(F.when(full, fold(s))).alias("folds"), every(s.rlike(PLAIN_NUMBER)).alias("plain"), F.coalesce(F.bool_or(full & s.rlike(LEADING_ZERO)), F.lit(False)).alias("zero"),
+        (times(full & s.rlike(DATE_SHAPE)) / F.nullif(times(full), F.lit(0))).alias("shape"), every(to_timestamp(c, T.StringType()).isNotNull()).alias("dates"),
+    )
+    return {r["column"]: r.asDict() for r in facts.collect()}
 
 
 def missing_label(existing: set[str]) -> str:
@@ -174,18 +173,10 @@ def suggest_actions(data: Dataset, stats: TableStats | None = None) -> tuple[Cle
     if stats.duplicates:
         add("drop_duplicates", None, stats.duplicates, "high", "Rows that repeat an earlier row in every column.")
     roles = {s.column: s.role for s in infer_semantics(data, stats)}
-    live = []
-    for c in stats.columns.values():
-        if not c.present:
-            add("drop_column", c.name, rows, "high", "The column has no values.", reason="empty")
-        elif c.distinct == 1 and not c.nulls:
-            add("drop_column", c.name, rows, "low", "The column has one value only.", reason="constant")
-        else:
-            live.append(c)
-    texts = [c.name for c in live if is_text(c.kind)]
-    facts = _text_facts(frame, texts)
+    texts = [n for n, kind in stats.fields.items() if is_text(kind)]
+    facts = _text_facts(stats, texts)
     outlier_bounds = {}
-    for c in live:
+    for c in stats.columns.values():
         name, role = c.name, roles[c.name]
         if t := facts.get(name):
             if t["padded"]:
@@ -207,6 +198,12 @@ def suggest_actions(data: Dataset, stats: TableStats | None = None) -> tuple[Cle
                 add("convert_numeric", name, t["full"], "high", "All texts are plain numbers.")
             elif role == "datetime" and t["full"] >= 3 and (t["shape"] or 0) >= 0.9 and t["dates"]:
                 add("convert_datetime", name, t["full"], "high", "All texts are dates.")
+        if not c.present:
+            add("drop_column", name, rows, "high", "The column has no values.", reason="empty")
+            continue
+        if c.distinct == 1:
+            add("drop_column", name, rows, "low", "The column has one distinct value.", reason="constant")
+            continue
         rate = c.nulls / rows
         numbers = c.numeric
         if rate >= 0.6:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.dataset import ROW_KEY, Dataset
-from tablewright.functions.exprs import DATE_START, col, finite, is_numeric, is_text, missing, strip, to_timestamp
+from tablewright.functions.exprs import DATE_START, col, finite, is_blank, is_numeric, is_text, missing, strip, to_timestamp
 
 #: Texts per column that are looked at for dates.
 SAMPLE = 100
@@ -87,12 +87,12 @@ class TableStats:
 
     @cached_property
     def distinct(self) -> dict[str, tuple[int, list[str]]]:
-        """Distinct non-null values and the first three of them, by column."""
+        """Distinct non-null values (blank ones too), and the first three that are not blank, by column."""
         counts = {r["column"]: r["d"] for r in self.values().groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
-        examples = {n: list(dict.fromkeys(values))[:3] for n, values in self.head.items()}
+        examples = {n: [x for x in dict.fromkeys(values) if x.strip()][:3] for n, values in self.head.items()}
         if late := [n for n in self.fields if len(examples[n]) < min(3, counts.get(n, 0))]:  # seen first behind the head
             order = Window.partitionBy("column").orderBy("first")
-            shown = self.values(late).withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("column", "rank", "value")
+            shown = self.values(late).filter(~is_blank(F.col("value"))).withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("column", "rank", "value")
             examples |= {n: [] for n in late}
             for r in sorted(shown.collect(), key=lambda r: r["rank"]):
                 examples[r["column"]].append(r["value"])

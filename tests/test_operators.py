@@ -320,7 +320,12 @@ def test_outliers(make):
 def test_drop_rules(make):
     data = make([(None, "c", "x"), (None, "c", None), (None, "c", None), (None, "c", None)], "empty string, constant string, sparse string")
     found = {a.column: dict(a.parameters)["reason"] for a in cleaning.suggest_actions(data) if a.kind == "drop_column"}
-    assert found["empty"] == "empty" and found["constant"] == "constant"
+    assert found == {"empty": "empty", "constant": "constant", "sparse": "constant"}
+    mostly = make([("a", 1), ("b", 2), (None, 3), (None, 4), (None, 5), (None, 6)], "sparse string, n long")
+    assert [dict(a.parameters)["reason"] for a in cleaning.suggest_actions(mostly) if a.kind == "drop_column"] == ["mostly_missing"]
+    padded = make([(" x",), (" x",)], "constant string")
+    assert [a.kind for a in cleaning.suggest_actions(padded)] == ["drop_duplicates", "trim_whitespace", "drop_column"]
+    assert profile.profile(make([(" ",), ("b",), ("",), ("c",)], "t string")).column_profile[0]["examples"] == "b, c"
 
 
 def test_conflicts_and_replay(make):
