@@ -182,11 +182,12 @@ def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """The documents with every span replaced by ``mark``; spans that overlap become one. Null texts stay null."""
-    names = docs.columns
-    text = F.col(text_col)
-    found = with_spans(docs, F.coalesce(text, F.lit("")), **options).withColumn("__all", listed(*KINDS))
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].cast("string").alias("text"))  # so that no name clashes
+    text = F.col("text")
+    found = with_spans(packed, F.coalesce(text, F.lit("")), **options).withColumn("spans", listed(*KINDS))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     gap = lambda a, m: F.when(m["s"] >= a["at"], F.concat(F.substring(text, a["at"] + 1, m["s"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
-    folded = F.aggregate("__all", start, lambda a, m: F.struct(F.greatest(a["at"], m["e"]).alias("at"), F.concat(a["out"], F.array(gap(a, m))).alias("out")))
+    folded = F.aggregate("spans", start, lambda a, m: F.struct(F.greatest(a["at"], m["e"]).alias("at"), F.concat(a["out"], F.array(gap(a, m))).alias("out")))
     clean = let(folded, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__all") > 0, clean).otherwise(text)).select(*names)
+    clean = F.when(F.size("spans") > 0, clean).otherwise(text)
+    return found.select(*((clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

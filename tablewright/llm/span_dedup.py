@@ -139,9 +139,12 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with repeated sentences cut out of their texts. Rows that share an id are cut alike."""
-    found = repeated_spans(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    text = F.col(text_col)
+    found = repeated_spans(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("found_id"), "spans")
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("row_id"))  # so that no name clashes
+    text = F.col("row")[text_col]
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    folded = F.aggregate("__spans", start, lambda a, m: F.struct(m["e"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, m["s"] - a["at"]))).alias("out")))
+    folded = F.aggregate("spans", start, lambda a, m: F.struct(m["e"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, m["s"] - a["at"]))).alias("out")))
     clean = F.transform(F.array(folded), lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))[0]
-    return docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left").withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(clean)).select(*docs.columns)
+    clean = F.when(F.col("spans").isNull(), text).otherwise(clean)
+    joined = packed.join(found, F.col("row_id").eqNullSafe(F.col("found_id")), "left")
+    return joined.select(*((clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

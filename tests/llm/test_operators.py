@@ -50,7 +50,7 @@ def docs(spark, texts):
     """Rows with ids that repeat and are null, and columns with names that the operators use inside."""
     rows = [(None if i == 3 else i % 70, t, "en", i) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, id long").repartition(3)
-    return df.withColumn("h", F.lit("x")).withColumn("n", F.lit(1)).withColumn("t", F.lit(2)).withColumn("dig", F.lit(2)).withColumn("__text", F.lit(0)).withColumn("size", F.lit(0)).withColumn("key", F.lit(0)).withColumn("start", F.lit(0))
+    return df.withColumn("h", F.lit("x")).withColumn("n", F.lit(1)).withColumn("t", F.lit(2)).withColumn("dig", F.lit(2)).withColumn("__text", F.lit(0)).withColumn("size", F.lit(0)).withColumn("key", F.lit(0)).withColumn("start", F.lit(0)).withColumn("__id", F.lit(7))
 
 
 @pytest.fixture(scope="module")
@@ -146,8 +146,10 @@ def test_jensen_shannon_distance():
     assert quality.distances(p, q) == pytest.approx([1.0, 0.5579230, 0.0], abs=1e-6)
 
 
-def test_filter_keeps_columns(docs):
-    assert quality.filter_quality(docs).columns == docs.columns
+def test_filters_keep_columns(spark, docs):
+    items = spark.createDataFrame([(1, "no such words in any text at all")], "item_id long, text string")
+    for out in (quality.filter_quality(docs), jaccard_join.keep_one(docs), decontaminate.drop_leaks(docs, items), secret_scan.redact(docs), span_dedup.remove_repeats(docs)):
+        assert out.columns == docs.columns and out.count() <= docs.count()
 
 
 # ---- URLs ------------------------------------------------------------------------------------------------------------
