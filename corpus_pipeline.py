@@ -13,38 +13,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import decontaminate, jaccard_join, quality, secret_scan, sp_codec
-from tablewright.llm.common import shared_dir
+from tablewright.llm.common import ready, shared_dir
 from tablewright.llm.registry import tokenizer
-from tablewright.session import make_importable, read_table
+from tablewright.session import read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or diverge from their languages go."""
-    make_importable(spark)
+    ready(spark)
     return quality.filter_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    make_importable(spark)
+    ready(spark)
     return jaccard_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    make_importable(spark)
+    ready(spark)
     return decontaminate.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; n_chars follows."""
-    make_importable(spark)
+    ready(spark)
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests, ids and decoded text of every document that is left."""
-    make_importable(spark)
+    ready(spark)
     return sp_codec.encode_texts(docs, tokenizer("piece_bpe_32k.model"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 from collections.abc import Iterator
 
@@ -12,9 +14,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one step of a Python worker holds in flat arrays at a time.
-CHUNK_BYTES = 4 << 20
+from tablewright.session import make_importable
 
+#: Text bytes that one step of a Python worker holds in flat arrays at a time, and rows of one Arrow batch.
+CHUNK_BYTES, BATCH_ROWS = 2 << 20, 2_000
+
+
+_libc = ctypes.CDLL(name) if (name := ctypes.util.find_library("c")) else None
+_libc = _libc if hasattr(_libc, "malloc_trim") else None
 
 #: Rows of ids and numbers (8 to 24 bytes each) that are still broadcast, after they were counted.
 BROADCAST_ROWS = 300_000
@@ -25,6 +32,19 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def ready(spark: SparkSession) -> None:
+    """What the operators ask of a session: workers that find this package, and Arrow batches of bounded size."""
+    make_importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's, or a new one where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,6 +73,7 @@ def texts_of(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, list
     edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(array)]
     for start, end in zip(edges, edges[1:], strict=False):
         yield start, [x or "" for x in array.slice(start, end - start).to_pylist()]
+    trim()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

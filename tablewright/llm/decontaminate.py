@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import durable
+from tablewright.llm.common import durable, few
 from tablewright.llm.secret_scan import let
 
 #: Shingles of the benchmark, or documents with a hit, that are still broadcast: 24 bytes each, so 12 MB.
@@ -149,5 +149,6 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that match no item, with their columns as they are."""
-    bad = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__id")).distinct()
+    bad = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__id"))
+    bad = few(durable(bad.distinct()))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]), "left_anti")

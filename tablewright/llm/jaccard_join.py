@@ -40,7 +40,7 @@ from tablewright.llm.common import durable, few, signed, texts_of, window_hashes
 from tablewright.llm.components import components
 
 #: Classes per block, and queries per block and task.
-BLOCK, QUERIES = 192, 512
+BLOCK, QUERIES = 96, 512
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -341,7 +341,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame
     name tells them apart.
     """
     linked = durable(link_classes(docs, id_col=id_col, **options).filter(F.col("doc_id").isNotNull()))
-    gone = linked.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    gone = few(durable(linked.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()))
     out = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
     again = linked.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__id")
     if again.isEmpty():

@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import durable, mix, texts_of, window_hashes, word_codes, word_hashes
+from tablewright.llm.common import durable, few, mix, texts_of, window_hashes, word_codes, word_hashes
 
 # Frequent function words of English, German, French and Spanish, in lower case.
 COMMON_WORDS = """
@@ -196,5 +196,6 @@ def quality_report(
 
 def filter_quality(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that are kept, with their columns as they are; an id counts as rejected if any of its rows is."""
-    bad = quality_report(docs, id_col=id_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    bad = quality_report(docs, id_col=id_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"))
+    bad = few(durable(bad.distinct()))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]), "left_anti")

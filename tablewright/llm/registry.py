@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import decontaminate, jaccard_join, license_scan, quality, secret_scan, sharding, sp_codec, span_dedup, token_counts, url_rules
+from tablewright.llm.common import ready
 from tablewright.session import read_table
 
 
@@ -63,9 +64,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _with(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ready(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_secret_scan, op2_quality_rules, op3_url_filter, op4_sentencepiece, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_jaccard_join, op9_sharding, op10_token_counts, pipeline]
-    return {f.__name__: f for f in own}
+    return {f.__name__: _with(f) for f in own}
 
 
 #: All pairs by common shingles, then everything that links lead to. For small tables: SQL has no way to spare pairs.
