@@ -19,7 +19,7 @@ class PairTest:
     ``merge(a, b)`` gives the rank of joining two adjacent strings, or None.
     """
 
-    def __init__(self, merge: Callable[[str, str], int | None], most: int = 2_000_000):
+    def __init__(self, merge: Callable[[str, str], int | None], most: int = 300_000):
         self.merge, self.most, self.known = merge, most, {}
 
     def encode(self, text: str) -> list[str]:

@@ -15,10 +15,12 @@ input columns are ignored. A special string in a text counts as one token, as th
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -28,8 +30,9 @@ from pyspark.sql import DataFrame
 from tablewright.llm.bpe import PairTest
 from tablewright.llm.common import texts_of
 
-#: Characters per chunk of the prefix scan, and those after which entry states are compared; states of the counter and pre-tokens that a worker keeps.
-CHUNK, SYNC, KEPT_STATES, KEPT_WORDS = 512, 24, 1_000_000, 500_000
+#: Characters per chunk of the prefix scan, and those after which entry states are compared; states of the counter that a
+#: worker keeps, how deep (deeper ones are seldom met again and made anew), and pre-tokens that it keeps.
+CHUNK, SYNC, KEPT_STATES, DEPTH, KEPT_WORDS = 512, 24, 200_000, 6, 300_000
 
 # Character classes of the splitter.
 LETTER, NUMBER, OTHER, BLANK, SPACE, QUOTE, L_STMD, L_R, L_V, L_L, L_E, FINAL = range(12)
@@ -151,12 +154,11 @@ class Counter:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         ranks = {pair: i for i, pair in enumerate(merges)}
         self.apart = PairTest(lambda a, b: ranks.get((a, b)))
-        self.reached = {t: len(t) for t in vocab if len(t) == 1 or self.apart.encode(t) == [t]}
-        #: The longest token that ends in two given characters.
-        self.longest: dict[str, int] = {}
-        for token, size in self.reached.items():
-            if size > 1:
-                self.longest[token[-2:]] = max(size, self.longest.get(token[-2:], 0))
+        self.automaton = ahocorasick.Automaton()
+        for token in vocab:
+            if len(token) > 1 and self.apart.encode(token) == [token]:  # a token that no merges reach never occurs
+                self.automaton.add_word(token, (token, len(token)))
+        self.automaton.make_automaton()
         self.reset()
 
     def reset(self) -> None:
@@ -164,37 +166,54 @@ class Counter:
         self.start: dict = {}
         self.made = 0
 
-    def extend(self, prefix: str, way: list[tuple[str, int]]) -> tuple[str, int]:
-        """Last token and number of tokens of ``prefix``; ``way`` has them for all shorter prefixes."""
-        n, reached, apart = len(prefix), self.reached, self.apart
-        for size in range(min(n, self.longest.get(prefix[-2:], 1)), 1, -1):
-            token = prefix[n - size :]
-            if token in reached:
-                if size == n:
-                    return token, 1
-                last, count = way[n - size - 1]
-                if apart(last, token):
-                    return token, count + 1
-        return prefix[-1], (way[-1][1] if way else 0) + 1
-
     def count(self, word: str) -> int:
-        """Runs the transducer over a pre-token (in the byte alphabet), adding up what its transitions carry."""
+        """Runs the transducer over a pre-token (in the byte alphabet), adding up what its transitions carry.
+
+        Where a transition is missing, it is made: the longest token that ends there and can follow the last token of
+        the prefix before it is the last one of the longer prefix.
+        """
         if self.made > KEPT_STATES:
             self.reset()
-        node, total, way = self.start, 0, []
-        keep = len(word) <= 64
-        for i, c in enumerate(word):
+        node, total, way, at = self.start, 0, [], 0
+        for c in word:
             arc = node.get(c)
             if arc is None:
-                last, whole = self.extend(word[max(0, i - 512) : i + 1], way[-512:]) if i > 512 else self.extend(word[: i + 1], way)
-                arc = ({}, whole - total, last)
-                if keep:
-                    node[c] = arc
-                    self.made += 1
+                break
             node = arc[0]
             total += arc[1]
             way.append((arc[2], total))
-        return total
+            at += 1
+        else:
+            return total
+        apart, known = self.apart, self.apart.known.get
+        way += [("", 0)] * (len(word) - at)
+        i = at
+        for end, (token, size) in itertools.chain(self.automaton.iter(word), ((len(word), ("", 0)),)):  # by end, the longest first
+            if end < i:
+                continue
+            while i < end:  # no token ends at i that fits: the character stands alone
+                way[i] = (word[i], (way[i - 1][1] if i else 0) + 1)
+                i += 1
+            if end == len(word):
+                break
+            start = end + 1 - size
+            if start:
+                last, count = way[start - 1]
+                fits = known((last, token))
+                if fits is None:
+                    fits = apart(last, token)
+                if not fits:
+                    continue
+                way[end] = (token, count + 1)
+            else:
+                way[end] = (token, 1)
+            i = end + 1
+        for k in range(at, min(DEPTH, len(word))):
+            last, whole = way[k]
+            arc = node[word[k]] = ({}, whole - total, last)
+            node, total = arc[0], whole
+            self.made += 1
+        return way[-1][1]
 
 
 class Machine:
