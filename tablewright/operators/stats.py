@@ -20,6 +20,7 @@ from tablewright.functions.exprs import DATE_START, col, finite, is_blank, is_nu
 SAMPLE = 100
 #: Rows that are looked at first for these and for examples.
 HEAD = 1_000
+QUARTERS = [0.25, 0.5, 0.75]
 
 
 @dataclass
@@ -56,13 +57,22 @@ class TableStats:
         self.fields = {f.name: f.dataType for f in data.frame.schema if f.name != ROW_KEY}
 
     @cached_property
-    def plain(self) -> dict[str, int]:
-        """Row count, and NULL and missing counts by column, in one aggregate."""
+    def plain(self) -> dict:
+        """Row count, NULL and missing counts, and all number statistics, in one aggregate over the table."""
         aggs = [F.count(F.lit(1)).alias("rows")]
         for i, (name, kind) in enumerate(self.fields.items()):
             aggs.append(F.count_if(col(name).isNull()).alias(f"n{i}"))
-            aggs.append(F.count_if(missing(col(name), kind)).alias(f"m{i}"))
-        return self.data.frame.agg(*aggs).first().asDict()
+            if is_text(kind):
+                aggs.append(F.count_if(missing(col(name), kind)).alias(f"m{i}"))
+            if is_numeric(kind):
+                c, ok = col(name).cast("double"), finite(col(name))
+                aggs += [
+                    F.count(c).alias(f"count{i}"), F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}"), F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"),
+                    F.bool_and(c.between(1900, 2100) & (c % 1 == 0)).alias(f"years{i}"), F.bool_and(c.between(0, 1)).alias(f"unit{i}"),
+                    F.count(ok).alias(f"finite{i}"), F.percentile(ok, QUARTERS).alias(f"fq{i}"),
+                ]
+        out = self.data.frame.agg(*aggs).first().asDict()
+        return out | {f"m{i}": out[f"n{i}"] for i, kind in enumerate(self.fields.values()) if not is_text(kind)}
 
     @property
     def rows(self) -> int:
@@ -101,23 +111,17 @@ class TableStats:
     @cached_property
     def numbers(self) -> dict[str, dict]:
         """count, mean, std, min, q1, median, q3, max, years, unit, finite statistics by number column."""
-        names = [n for n, k in self.fields.items() if is_numeric(k)]
-        aggs = []
-        for i, name in enumerate(names):
-            c = col(name).cast("double")
-            ok = finite(col(name))
-            aggs += [
-                F.count(c).alias(f"count{i}"), F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}"), F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"),
-                F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
-                F.bool_and(c.between(1900, 2100) & (c % 1 == 0)).alias(f"years{i}"), F.bool_and(c.between(0, 1)).alias(f"unit{i}"),
-                F.count(ok).alias(f"finite{i}"), F.percentile(ok, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"fq{i}"),
-            ]
-        row = self.data.frame.agg(*aggs).first().asDict() if aggs else {}
+        places = {n: i for i, (n, k) in enumerate(self.fields.items()) if is_numeric(k)}
+        plain = self.plain
+        quartiles = {n: plain[f"fq{i}"] for n, i in places.items()}
+        if odd := [n for n, i in places.items() if plain[f"finite{i}"] < plain[f"count{i}"]]:  # only infinities make a difference
+            row = self.data.frame.agg(*(F.percentile(col(n).cast("double"), QUARTERS) for n in odd)).first()
+            quartiles |= dict(zip(odd, row, strict=True))
         out = {}
-        for i, name in enumerate(names):
-            q, fq = row[f"q{i}"] or [None] * 3, row[f"fq{i}"] or [None] * 3
-            out[name] = {k: row[f"{k}{i}"] for k in ("count", "mean", "std", "min", "max", "years", "unit", "finite")}
-            out[name] |= {"q1": q[0], "median": q[1], "q3": q[2], "fq1": fq[0], "fmedian": fq[1], "fq3": fq[2]}
+        for n, i in places.items():
+            q, fq = quartiles[n] or [None] * 3, plain[f"fq{i}"] or [None] * 3
+            out[n] = {k: plain[f"{k}{i}"] for k in ("count", "mean", "std", "min", "max", "years", "unit", "finite")}
+            out[n] |= {"q1": q[0], "median": q[1], "q3": q[2], "fq1": fq[0], "fmedian": fq[1], "fq3": fq[2]}
         return out
 
     @cached_property
@@ -126,13 +130,14 @@ class TableStats:
         names = [n for n, k in self.fields.items() if is_text(k)]
         spark = self.data.frame.sparkSession
         sparse = [n for n in names if len(self.head[n]) < min(SAMPLE, self.rows - self.plain[f"n{list(self.fields).index(n)}"])]
-        rows = [(n, v) for n in names if n not in sparse for v in self.head[n][:SAMPLE]]
+        dated = [n for n in names if n not in sparse and any(x.isdigit() for v in self.head[n][:SAMPLE] for x in v)]  # no date is without a digit
+        rows = [(n, v) for n in dated for v in self.head[n][:SAMPLE]]
+        if not rows and not sparse:
+            return {}
         first = spark.createDataFrame(rows, "column string, value string").coalesce(1)
         if sparse:  # their first values stand behind the head
             ranked = self.long(sparse).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(ROW_KEY))).filter(F.col("rank") <= SAMPLE)
             first = first.unionByName(ranked.select("column", "value"))
-        if not rows and not sparse:
-            return {}
         parsed = to_timestamp(F.col("value"), T.StringType()).isNotNull().cast("double")
         shaped = strip(F.col("value")).rlike(DATE_START).cast("double")
         return {r["column"]: (r["parsed"], r["shaped"]) for r in first.groupBy("column").agg(F.avg(parsed).alias("parsed"), F.avg(shaped).alias("shaped")).collect()}
