@@ -23,7 +23,7 @@ from tablewright.llm.common import texts_of
 
 MARK = "▁"
 #: Words that a worker keeps with their ids, and the longest of them.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+KEPT_WORDS, KEPT_LENGTH = 300_000, 64
 
 _codecs: dict[str, Codec] = {}
 
@@ -45,7 +45,8 @@ class Codec:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown, self.end = model.unk_id(), model.eos_id()
         self.table = PrefixTable(list(pieces), lambda a, b: scores.get(a + b))
-        self.words: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.shown = [str(i) for i in range(model.vocab_size())]
+        self.words: dict[str, tuple[int, ...]] = {}
         self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
     def _ids(self, word: str) -> tuple[int, ...]:
@@ -59,30 +60,25 @@ class Codec:
                     out.append(self.bytes[b])
         return tuple(out)
 
-    def word(self, word: str) -> tuple[str, tuple[int, ...]]:
+    def word(self, word: str) -> tuple[int, ...]:
         ids = self._ids(word)
-        found = " ".join(map(str, ids)), ids
         if len(word) <= KEPT_LENGTH:
             if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
-            self.words[word] = found
-        return found
+            self.words[word] = ids
+        return ids
 
     def normal(self, text: str) -> str:
         """The text as the model sees it: blanks as marks and one in front."""
-        text = self.model.normalize(text) if text else ""
-        return text
+        return self.model.normalize(text) if text else ""
 
     def encode(self, text: str) -> tuple[str, list[int]]:
         """Decimal ids joined by blanks, and the ids, with the end id."""
-        parts, ids, known, slow = [], [], self.words.get, self.word
+        ids, known, slow = [], self.words.get, self.word
         for word in self.split(self.normal(text)):
-            shown, own = known(word) or slow(word)
-            parts.append(shown)
-            ids += own
-        parts.append(str(self.end))
+            ids += known(word) or slow(word)
         ids.append(self.end)
-        return " ".join(parts), ids
+        return " ".join(map(self.shown.__getitem__, ids)), ids
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
