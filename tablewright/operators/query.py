@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.exprs import col, is_numeric, is_temporal, is_text
+from tablewright.functions.exprs import col, is_numeric, is_temporal
 
 RELATION = "uploaded_data"
 MOST_ROWS = 5_000
