@@ -325,11 +325,12 @@ def link_classes(
     tops = found.select("dig", "comp")
     over = more.join(tops.toDF("a", "ca"), "a").join(tops.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     last = components(over).toDF("comp", "top")
-    final = found.select("dig", "comp").join(last, "comp", "left").select("dig", F.coalesce("top", "comp").alias("comp"))
     names = base.filter("n > 0").groupBy("dig").agg(F.min("id").alias("rep"))
-    named = names.join(final, "dig", "left").withColumn("comp", F.coalesce("comp", "dig"))
-    lowest = named.groupBy("comp").agg(F.min("rep").alias("name"))
-    named = named.join(lowest, "comp").select("dig", "name")
+    final = found.select("dig", "comp").join(few(last), "comp", "left").select("dig", F.coalesce("top", "comp").alias("comp"))
+    able_reps = durable(names.join(few(durable(final)), "dig"))  # other classes are their own component
+    lowest = few(durable(able_reps.groupBy("comp").agg(F.min("rep").alias("name"))))
+    renamed = few(durable(able_reps.join(lowest, "comp").select("dig", "name")))
+    named = names.join(renamed, "dig", "left").select("dig", F.coalesce("name", "rep").alias("name"))
     out = base.join(named, "dig", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
 
