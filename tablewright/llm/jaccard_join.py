@@ -331,6 +331,7 @@ def link_classes(
     lowest = few(durable(able_reps.groupBy("comp").agg(F.min("rep").alias("name"))))
     renamed = few(durable(able_reps.join(lowest, "comp").select("dig", "name")))
     named = names.join(renamed, "dig", "left").select("dig", F.coalesce("name", "rep").alias("name"))
+    named = durable(named)  # so that the last join has a shuffle of its own on either side, of which Spark splits hot texts
     out = base.join(named, "dig", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
 
