@@ -1,8 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at ``.``, ``!`` or ``?`` with a blank behind, and at line ends); a sentence of more than
-``piece`` words is cut into pieces, so that passages without stops count too. From every sentence the run of the fewest
-consecutive ones that are at least two and have ``least_words`` words is hashed. A run depends on what follows alone, so a
+A text is cut into sentences (at ``.``, ``!`` or ``?`` with a blank behind, and at line ends), and these into pieces at
+places that the words around them choose: of every ``piece // 2`` consecutive gaps between words of a sentence the one with
+the least hash is cut. So pieces have at most ``piece // 2`` words, and a passage is cut alike wherever it stands, alone, without
+stops, or inside a longer sentence, but for that many words at either end; any ``2 * (piece // 2) + least_words`` words in a
+row that two texts share (line ends included) have a run in common. From every sentence or piece the run of the fewest
+consecutive ones that are at least two and have
+``least_words`` words is hashed. A run depends on what follows alone, so a
 passage gives the same runs wherever it stands. Runs are joined globally; of each the first place (smallest id,
 then position) stays, and in all others the sentences it covers are removed.
 
@@ -29,66 +33,100 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import durable, mix, signed, texts_of, word_codes, word_hashes
 
 SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?]+(?=[^\s.!?]))*(?:[.!?]+(?=\s|$)|\n|$)")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut_places(size: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
+    """Which words begin a unit: the first of every sentence, and those the words around them choose.
+
+    ``size`` has the words of every sentence, ``hashes`` those of all words. Of every ``window`` consecutive gaps between
+    words of a sentence the one with the least hash of the words beside it is cut, the last one where several are equal.
+    """
+    begins = np.zeros(len(hashes), bool)
+    edges = np.concatenate([[0], np.cumsum(size)])
+    begins[edges[:-1]] = True
+    if len(hashes) <= window:
+        return begins
+    gaps = mix(hashes[:-1] + mix(hashes[1:] + np.uint64(1)))  # gap g stands before word g + 1
+    owner = np.repeat(np.arange(len(size)), size)
+    whole = np.flatnonzero(owner[:-window] == owner[window:])
+    least = np.lib.stride_tricks.sliding_window_view(gaps, window)[whole, ::-1].argmin(1)
+    begins[whole + window - least] = True
+    return begins
+
+
+def units(texts: list[str], piece: int) -> tuple:
+    """Words and their hashes, and words, start, end and text of every sentence or piece of one; places are code points."""
+    words, counts, begins, ends, owners, breaks, shifts = [], [], [], [], [], [], [0]
+    for i, text in enumerate(texts):
+        shift = shifts[-1]
+        for m in SENTENCE.finditer(text):
+            own = m[0]
+            breaks.append(shift + m.start())
+            if not own or own.isspace() or not (found := own.lower().encode().split()):
+                continue
+            words += found
+            counts.append(len(found))
+            begins.append(shift + m.start())
+            ends.append(shift + m.end())
+            owners.append(i)
+        shifts.append(shift + len(text))
+    if not counts:
+        return words, np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4))
+    count, begin, end, owner = (np.array(x, np.int64) for x in (counts, begins, ends, owners))
+    hashes = word_hashes(*word_codes(words))
+    # Places of the words: a word begins behind a blank or where a sentence does.
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    filled = np.concatenate([[False], (points != 32) & ((points < 9) | (points > 13)), [False]])
+    broken = np.zeros(len(points) + 1, bool)
+    broken[breaks] = True
+    opens = np.flatnonzero(filled[1:] & (~filled[:-1] | broken))
+    closes = np.flatnonzero(filled[:-1] & (~filled[1:] | broken))
+    edges = np.concatenate([[0], np.cumsum(count)])
+    place = np.arange(len(words)) + np.repeat(np.searchsorted(opens, begin) - edges[:-1], count)
+    first = np.flatnonzero(cut_places(count, hashes, max(1, piece // 2)))
+    size = np.diff(np.append(first, len(words)))
+    of = np.searchsorted(edges, first, side="right") - 1
+    cut = size < count[of]
+    shift = np.array(shifts, np.int64)[owner[of]]
+    start = np.where(cut, opens[place[first]], begin[of]) - shift
+    stop = np.where(cut, closes[place[first + size - 1]], end[of]) - shift
+    return words, hashes, size, start, stop, owner[of]
 
 
 def sentences(text: str, piece: int) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, lower-case words) of every sentence or piece of one; places are code points."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        own = m[0]
-        if not own or own.isspace():
-            continue
-        words = own.lower().encode().split()
-        if not words:
-            continue
-        if len(words) <= piece:
-            out.append((m.start(), m.end(), words))
-            continue
-        at = [w.span() for w in WORD.finditer(own)]
-        for k in range(0, len(at), piece):
-            last = min(k + piece, len(at)) - 1
-            out.append((m.start() + at[k][0], m.start() + at[last][1], [own[a:b].lower().encode() for a, b in at[k : last + 1]]))
-    return out
+    words, _, size, start, end, _ = units([text], piece)
+    edges = [0, *np.cumsum(size).tolist()]
+    return [(s, e, words[a:b]) for s, e, a, b in zip(start.tolist(), end.tolist(), edges, edges[1:], strict=False)]
 
 
 def runs(texts: list[str], least_words: int, piece: int) -> tuple[np.ndarray, ...]:
     """(text, start, end, hash) of every run of some texts."""
-    words, sizes, begins, ends, owners = [], [], [], [], []
-    for i, text in enumerate(texts):
-        for start, end, own in sentences(text, piece):
-            words += own
-            sizes.append(len(own))
-            begins.append(start)
-            ends.append(end)
-            owners.append(i)
-    if not sizes:
+    _, hashes, size, begin, end, owner = units(texts, piece)
+    if not len(size):
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    size, begin, end, owner = (np.array(x, np.int64) for x in (sizes, begins, ends, owners))
-    hashes = word_hashes(*word_codes(words))
     edges = np.concatenate([[0], np.cumsum(size)])
     # A hash of a run of words from prefix sums of word hashes scrambled with their places: equal runs at different
     # places must agree, so each sentence is hashed on its own first and runs combine the sentences' hashes in order.
     local = np.arange(len(hashes)) - np.repeat(edges[:-1], size)
     sentence = np.add.reduceat(mix(hashes + mix(local.astype(np.uint64) + np.uint64(1))), edges[:-1])
-    n = len(size)
-    total, state, last = size.copy(), mix(sentence), np.arange(n)
-    live = np.arange(n)
-    done_at = np.full(n, -1)
+    first, last = ends_of_runs(edges, owner, least_words)
+    state, live = mix(sentence[first]), np.arange(len(first))
     step = 0
     while len(live):  # each round adds one more sentence to the runs that are still short
-        ready = live[(total[live] >= least_words) & (step >= 1)]
-        done_at[ready] = last[ready]
-        live = live[~((total[live] >= least_words) & (step >= 1))]
-        nxt = last[live] + 1
-        inside = (nxt < n) & (owner[np.minimum(nxt, n - 1)] == owner[live])
-        live, nxt = live[inside], nxt[inside]
-        total[live] += size[nxt]
-        state[live] = mix(state[live] + mix(sentence[nxt] + np.uint64(1)))
-        last[live] = nxt
         step += 1
-    found = np.flatnonzero(done_at >= 0)
-    return owner[found], begin[found], end[done_at[found]], state[found]
+        live = live[first[live] + step <= last[live]]
+        state[live] = mix(state[live] + mix(sentence[first[live] + step] + np.uint64(1)))
+    return owner[first], begin[first], end[last], state
+
+
+def ends_of_runs(edges: np.ndarray, owner: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last sentence of the shortest run from every sentence, where its text has one."""
+    n = len(owner)
+    first = np.arange(n)
+    last = np.maximum(np.searchsorted(edges, edges[:-1] + least_words) - 1, first + 1)
+    found = (last < n) & (owner[np.minimum(last, n - 1)] == owner)
+    return first[found], last[found]
 
 
 def span_rows(docs: DataFrame, least_words: int, piece: int) -> DataFrame:

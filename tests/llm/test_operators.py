@@ -389,6 +389,27 @@ def test_spans_equal_brute_force(spark):
     assert span_dedup.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_passages_inside_sentences_are_found(spark):
+    """Whoever shares 49 words in a row with an earlier text is reported, and loses words 12 to 25 of them at least."""
+    r = random.Random(21)
+    fresh = lambda n: [f"f{r.randrange(10**9)}" for _ in range(n)]
+    passages = [[f"p{r.randrange(10**6)}" + ("." if k % 3 and r.random() < 0.07 * k else "") for _ in range(49 + 3 * k)] for k in range(8)]
+    rows, held = [], {}
+    for i in range(80):
+        own = passages[i % 8]
+        before, behind = fresh(r.randint(1, 40)), fresh(r.randint(1, 40))
+        rows.append((i, " ".join(before + own + behind)))
+        held[i] = (len(before), len(own))
+    rows += [(100 + i, " ".join(fresh(120))) for i in range(20)]
+    out = {x.doc_id: x.removed for x in span_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out.keys() == {i for i in held if i >= 8}
+    for i, removed in out.items():
+        text, (before, n) = dict(rows)[i], held[i]
+        spans = [tuple(map(int, x.split(":"))) for x in removed.split(",")]
+        gone = [any(a <= m.start() and m.end() <= b for a, b in spans) for m in re.finditer(r"\S+", text)]
+        assert all(gone[before + 12 : before + 25]) and not any(gone[:before]) and not any(gone[before + n :])
+
+
 # ---- Joins -----------------------------------------------------------------------------------------------------------
 
 
