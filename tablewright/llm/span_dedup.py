@@ -4,11 +4,10 @@ A text is cut into sentences (at ``.``, ``!`` or ``?`` with a blank behind, and
 places that the words around them choose: of every ``piece // 2`` consecutive gaps between words of a sentence the one with
 the least hash is cut. So pieces have at most ``piece // 2`` words, and a passage is cut alike wherever it stands, alone, without
 stops, or inside a longer sentence, but for that many words at either end; any ``2 * (piece // 2) + least_words`` words in a
-row that two texts share (line ends included) have a run in common. From every sentence or piece the run of the fewest
-consecutive ones that are at least two and have
-``least_words`` words is hashed. A run depends on what follows alone, so a
-passage gives the same runs wherever it stands. Runs are joined globally; of each the first place (smallest id,
-then position) stays, and in all others the sentences it covers are removed.
+row that two texts share (line ends included) have a run in common. From every sentence or piece, and up to every one, the run of the fewest
+consecutive ones that are at least two and have ``least_words`` words is hashed. A run depends on its own words alone, so a
+passage gives the same runs wherever it stands, and they cover all that the longer runs inside it would. Runs are joined
+globally; of each the first place (smallest id, then position) stays, and in all others the sentences it covers are removed.
 
 Counts of a hash are combined before the shuffle, and only hashes that occur twice are joined back, so a passage that a
 third of all texts share costs one row per task in the first shuffle; its second is a plain join that Spark
@@ -121,12 +120,15 @@ def runs(texts: list[str], least_words: int, piece: int) -> tuple[np.ndarray, ..
 
 
 def ends_of_runs(edges: np.ndarray, owner: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last sentence of the shortest run from every sentence, where its text has one."""
+    """First and last sentence of the shortest run from every sentence, and of the shortest one up to it, where its text has one."""
     n = len(owner)
-    first = np.arange(n)
-    last = np.maximum(np.searchsorted(edges, edges[:-1] + least_words) - 1, first + 1)
-    found = (last < n) & (owner[np.minimum(last, n - 1)] == owner)
-    return first[found], last[found]
+    own = np.arange(n)
+    last = np.maximum(np.searchsorted(edges, edges[:-1] + least_words) - 1, own + 1)
+    onward = (last < n) & (owner[np.minimum(last, n - 1)] == owner)
+    first = np.minimum(np.searchsorted(edges, edges[1:] - least_words, side="right") - 1, own - 1)
+    back = (first >= 0) & (owner[np.maximum(first, 0)] == owner)
+    back &= last[np.maximum(first, 0)] != own  # else it is the run from its first sentence
+    return np.concatenate([own[onward], first[back]]), np.concatenate([last[onward], own[back]])
 
 
 def span_rows(docs: DataFrame, least_words: int, piece: int) -> DataFrame:

@@ -390,7 +390,7 @@ def test_spans_equal_brute_force(spark):
 
 
 def test_passages_inside_sentences_are_found(spark):
-    """Whoever shares 49 words in a row with an earlier text is reported, and loses words 12 to 25 of them at least."""
+    """Whoever shares 49 words in a row with an earlier text is reported, and loses all but 12 words at either end of them."""
     r = random.Random(21)
     fresh = lambda n: [f"f{r.randrange(10**9)}" for _ in range(n)]
     passages = [[f"p{r.randrange(10**6)}" + ("." if k % 3 and r.random() < 0.07 * k else "") for _ in range(49 + 3 * k)] for k in range(8)]
@@ -407,7 +407,35 @@ def test_passages_inside_sentences_are_found(spark):
         text, (before, n) = dict(rows)[i], held[i]
         spans = [tuple(map(int, x.split(":"))) for x in removed.split(",")]
         gone = [any(a <= m.start() and m.end() <= b for a, b in spans) for m in re.finditer(r"\S+", text)]
-        assert all(gone[before + 12 : before + 25]) and not any(gone[:before]) and not any(gone[before + n :])
+        assert all(gone[before + 12 : before + n - 12]) and not any(gone[:before]) and not any(gone[before + n :])
+
+
+def test_all_longer_runs_are_covered(spark):
+    """Against every run of two or more sentences with 25 words in all, of whatever length."""
+    r = random.Random(31)
+    line = lambda n, c: " ".join(f"{c}{r.randrange(10**6)}" for _ in range(n)) + "."
+    rows = [(0, " ".join([line(30, "a"), line(10, "b"), line(11, "c")]))]
+    rows.append((1, line(7, "x") + " " + rows[0][1] + " " + line(9, "y")))
+    pool = [line(r.randint(1, 30), "s") for _ in range(25)]
+    rows += [(i, " ".join(pool[k] for k in range(a, min(25, a + r.randint(1, 9)))) + " " + line(r.randint(1, 9), "z")) for i in range(2, 40) for a in [r.randrange(25)]]
+    first, every = {}, []
+    for i, text in rows:
+        u = span_dedup.sentences(text, 25)
+        for a in range(len(u)):
+            for b in range(a + 1, len(u)):
+                key = tuple(w for x in u[a : b + 1] for w in (*x[2], b"|"))
+                if len(key) - (b - a + 1) >= 25:
+                    every.append((key, (i, u[a][0]), u[b][1]))
+                    first[key] = min(first.get(key, (i, u[a][0])), (i, u[a][0]))
+    truth = collections.defaultdict(set)
+    for key, place, end in every:
+        if place != first[key]:
+            truth[place[0]] |= {p for p in range(place[1], end) if not rows[place[0]][1][p].isspace()}
+    out = collections.defaultdict(set)
+    for x in span_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        for a, b in (map(int, part.split(":")) for part in x.removed.split(",")):
+            out[x.doc_id] |= {p for p in range(a, b) if not rows[x.doc_id][1][p].isspace()}
+    assert out == truth and rows[1][1].index(rows[0][1].split(". ")[2]) in out[1]
 
 
 # ---- Joins -----------------------------------------------------------------------------------------------------------
