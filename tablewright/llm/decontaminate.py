@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
 Texts and benchmark items are lower-cased and cut into words at blanks; their shingles are five words (all words of an item
-that has fewer). A window is as many words of a document as an item has, cut off at the text's ends. Windows are laid where
-a document and an item have a shingle in common, so that this shingle has the same place in both; where the document
-has fewer of the item's shingles than the threshold's share, no window can qualify and none is made.
+that has fewer). A window is as many words of a document as an item has, cut off at the text's ends. Where a window holds
+the threshold's share of an item's shingles it may qualify, and elsewhere none can. Of such windows those are laid whose start is
+not before the first nor behind the last of the starts that would give one of the shared shingles inside the same place as in the item;
+a window before or behind these and within the text is never better than the nearest of them.
 
 Each window and item gets a 64-bit SimHash of its shingles, a shingle weighing as often as it stands there. The five
 blocks (of 13 and 12 bits) of an item's fingerprint are posted under every value within Hamming distance ``radius // 5``, so
@@ -82,6 +83,26 @@ def doc_shingles(words: Column, width: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: fold(w, i))).otherwise(F.array().cast("array<bigint>")))
 
 
+def starts(hits: Column, m: Column, need: Column) -> Column:
+    """Starts of the windows of ``m`` shingles that hold ``need`` of the ``hits`` or more, from the first to the last alignment inside.
+
+    ``hits`` are sorted structs of pos, low and high (alignments). Every start belongs to the first hit in its window.
+    """
+
+    def of(hit: Column, i: Column) -> Column:
+        far = F.get(hits, i + need - 1)["pos"]
+        first = F.greatest(far - m + 1, F.coalesce(F.get(hits, i - 1)["pos"] + 1, far - m + 1))
+
+        def aligned(s: Column) -> Column:
+            inside = F.filter(F.slice(hits, i + 1, m), lambda x: x["pos"] < s + m)
+            return let(inside, lambda own: (F.array_min(F.transform(own, lambda x: x["low"])) <= s) & (F.array_max(F.transform(own, lambda x: x["high"])) >= s))
+
+        none = F.array().cast("array<int>")
+        return F.when(far.isNotNull() & (first <= hit["pos"]), F.filter(F.sequence(first, F.greatest(first, hit["pos"])), aligned)).otherwise(none)
+
+    return F.flatten(F.transform(hits, of))
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     threshold: float = 0.75, radius: int = 24,
@@ -97,20 +118,20 @@ def find_leaks(
     small = items.agg(F.sum(F.size("sh"))).first()[0] <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
 
-    # Where documents and items have a shingle in common: the place at which the item would begin.
+    # Where documents and items have a shingle in common: its place, and the first and last at which the item would begin.
     found = None
     for width in widths:
         posted = items.filter(F.col("width") == width).select("item", F.posexplode("sh").alias("at", "h"))
         places = plain.select("id", F.posexplode(doc_shingles(words_of(F.col("text")), width)).alias("pos", "h"))
-        hits = places.join(hint(posted), "h").select("id", "item", (F.col("pos") - F.col("at")).alias("start"))
+        hits = places.join(hint(posted), "h").select("id", "item", "pos", (F.col("pos") - F.col("at")).alias("start"))
         found = hits if found is None else found.unionByName(hits)
-    starts = found.groupBy("id", "item", "start").agg(F.count(F.lit(1)).alias("common"))
+    hits = found.groupBy("id", "item", "pos").agg(F.min("start").alias("low"), F.max("start").alias("high"))
     # No window reaches the threshold without that share of the item's shingles, whatever their alignment.
     size = items.select("item", "n", "width", F.size("sh").alias("m"))
-    need = F.ceil(F.col("m") * threshold - 1e-9)
-    likely = starts.groupBy("id", "item").agg(F.sum("common").alias("common"), F.collect_list("start").alias("starts"))
-    likely = durable(likely.join(hint(size), "item").filter(F.col("common") >= need))
-    windows = likely.withColumn("size", F.col("n")).select("id", "width", "size", F.explode("starts").alias("start")).distinct()
+    need = F.ceil(F.col("m") * threshold - 1e-9).cast("int")
+    likely = hits.groupBy("id", "item").agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("hits"))
+    likely = durable(likely.join(hint(size), "item").withColumn("need", need).filter(F.size("hits") >= F.col("need")))
+    windows = likely.select("id", "width", F.col("n").alias("size"), F.explode(starts(F.col("hits"), F.col("m"), F.col("need"))).alias("start")).distinct()
     per_doc = windows.groupBy("id").agg(F.collect_list(F.struct("width", "size", "start")).alias("windows"))
     per_doc = durable(per_doc)
     near = F.broadcast if per_doc.count() <= BROADCAST_ROWS // 10 else (lambda df: df)

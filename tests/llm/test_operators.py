@@ -324,6 +324,43 @@ def test_leaks_equal_brute_force(spark):
     assert {(x.doc_id, x.item_id): round(x.similarity, 9) for x in out.collect()} == {k: round(v, 9) for k, v in expected.items()}
 
 
+def best_windows(rows, items, threshold=0.75):
+    """Every start from the smallest to the largest alignment of a document and an item."""
+    out = {}
+    for i, text in rows:
+        w = words_of(text.lower())
+        sh = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+        for item, t in items:
+            v = words_of(t.lower())
+            m, own = len(v) - 4, collections.Counter(tuple(v[j : j + 5]) for j in range(len(v) - 4))
+            found = [j - at for j, x in enumerate(sh) for at in range(m) if x == tuple(v[at : at + 5])]
+            for a in range(min(found, default=0), max(found, default=-1) + 1):
+                win = collections.Counter(sh[max(0, a) : max(0, a + m)])
+                s = sum((win & own).values()) / sum((win | own).values())
+                if s >= threshold - 1e-12:
+                    out[i, item] = max(s, out.get((i, item), 0))
+    return out
+
+
+def test_leaks_between_alignments(spark):
+    r = random.Random(14)
+    items = [(i, " ".join(f"w{i}x{r.randint(0, 400)}" for _ in range(n))) for i, n in enumerate([50, 50, 30, 60, 80, 120])]
+    items.append((6, "go " * 40 + "stop"))
+    one = words_of(items[0][1])
+    rows = [(0, " ".join([*(f"z{k}" for k in range(20)), "first", *one[1:25], "in", "serted", *one[25:49], "last", *(f"y{k}" for k in range(20))]))]
+    for i in range(1, 150):
+        own = words_of(r.choice(items)[1])
+        own[: r.choice([0, 1, 2])] = own[len(own) - r.choice([0, 1, 2]) :] = []
+        for _ in range(r.randint(0, 2)):
+            at = r.randint(len(own) // 3, 2 * len(own) // 3)
+            own[at : at + r.choice([0, 0, 1, 2])] = ["new"] * r.randint(0, 3)
+        rows.append((i, " ".join([f"z{r.randint(0, 99)}" for _ in range(r.randint(3, 20))] + own + [f"y{r.randint(0, 99)}" for _ in range(r.randint(3, 20))])))
+    truth = best_windows(rows, items)
+    assert (0, 0) in truth and (0, 0) not in leaks(rows, items)
+    out = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): round(x.similarity, 9) for x in out.collect()} == {k: round(v, 9) for k, v in truth.items()}
+
+
 def test_leaks_on_samples_and_empty_tables(spark, sample):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     out = decontaminate.find_leaks(sample, items)
