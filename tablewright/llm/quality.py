@@ -2,7 +2,9 @@
 
 A document's character classes and its common words, as shares, are compared with references of the languages by the
 Jensen-Shannon distance. The references are averages over all documents of a language in the corpus that pass the base
-rules; a document is held against the reference nearest to it, so a wrong language label does no harm. Two
+rules and have ``min_words``, and every language with one such document has a reference, however small its part of the table; a
+document is held against the reference nearest to it, so a wrong language label does no harm. The references are a table of
+their own, of which ``REFERENCE_ROWS`` at a time are on the driver and in the workers. Two
 minimum lengths guard the comparison: below ``min_words`` no verdict is made, and the limits widen with the
 sampling noise of short texts.
 
@@ -14,6 +16,7 @@ input columns are carried by ``filter_quality`` and ignored by ``quality_report`
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ WORDS = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
 # The classes of ASCII characters; others than these and ASCII letters count as "other", and characters beyond ASCII as one class.
 CLASSES = {"digit": "0123456789", "stop": ".,;:", "mark": "!?", "quote": "'\"-()", "blank": " \t", "line": "\n", "bar": "|", "symbol": "#*$%&<>=+_~^@/\\[]{}`"}
 N_CLASSES = 12
+#: References that documents are held against at a time; about 1.5 KB each.
+REFERENCE_ROWS = 1_000
 
 
 def _class_table() -> np.ndarray:
@@ -123,19 +128,20 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def references(measured: DataFrame, min_words: int, least_share: float = 0.001) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Mean shares of classes and common words per language; at most 1 / least_share languages have one."""
+def references(measured: DataFrame, min_words: int) -> DataFrame:
+    """Mean shares of classes and common words of every language with a sound document."""
     sound = measured.filter(~base_failed() & (F.col("n_words") >= min_words) & F.col("lang").isNotNull())
     total = F.aggregate("classes", F.lit(0), lambda a, x: a + x)
     means = [F.avg(F.col("classes")[i] / total).alias(f"c{i}") for i in range(N_CLASSES)]
     means += [F.avg(F.col("common")[i] / F.col("n_words")).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    sums = sound.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *means)
-    rows = measured.filter(F.col("lang").isNotNull()).count()
-    out = []
-    for row in sums.filter(F.col("n") >= max(1, least_share * rows)).collect():
-        values = np.array(row[2:], float)
-        out.append((values[:N_CLASSES], values[N_CLASSES:]))
-    return out
+    return durable(sound.groupBy("lang").agg(*means).orderBy("lang"))
+
+
+def blocks(refs: DataFrame) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The references, REFERENCE_ROWS at a time; collected at once only where they are counted to be few."""
+    rows = iter(refs.collect()) if refs.count() <= REFERENCE_ROWS else refs.toLocalIterator()
+    while block := list(islice(rows, REFERENCE_ROWS)):
+        yield [(values[:N_CLASSES], values[N_CLASSES:]) for values in (np.array(row[1:], float) for row in block)]
 
 
 def distances(histograms: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -150,35 +156,45 @@ def distances(histograms: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def judge(measured: DataFrame, refs: list[tuple[np.ndarray, np.ndarray]], min_words: int, max_class: float, max_word: float, max_both: float) -> DataFrame:
-    """Adds class_distance, word_distance (null below ``min_words``) and verdict.
-
-    The limits, of each distance and of their sum, rise by a term that falls with the root of the length.
-    """
-    kept = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def compare(state: DataFrame, refs: list[tuple[np.ndarray, np.ndarray]], last: bool, max_class: float, max_word: float, max_both: float) -> DataFrame:
+    """``state`` with class_distance, word_distance and over of the nearest of ``refs`` where that is nearer; the ``last`` time without histograms."""
+    names = [c for c in state.columns if not (last and c in ("classes", "common"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            words = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            grid = [np.array(batch.column(6 + i).flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1) for i in (0, 1)]
-            best = np.full((2, n), np.inf)
-            over = np.full(n, np.inf)
+            n, column = batch.num_rows, lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023
+            words = column("n_words").to_numpy(zero_copy_only=False).astype(float)
+            grid = [np.array(column(x).flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1) for x in ("classes", "common")]
+            best = np.stack([column(x).to_numpy(zero_copy_only=False) for x in ("class_distance", "word_distance")])
+            over = column("over").to_numpy(zero_copy_only=False).copy()
             for ref in refs:
                 own = np.stack([distances(g, r) for g, r in zip(grid, ref, strict=True)])
                 slack = 0.5 / np.sqrt(np.maximum(words, 1))
                 excess = np.max([own[0] - max_class - slack, own[1] - max_word - 2 * slack, own.sum(0) - max_both - 3 * slack], axis=0)
                 better = excess < over
                 best[:, better], over[better] = own[:, better], excess[better]
-            guarded = (words < min_words) | (not refs)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:6], *(pa.array(x, pa.float64(), mask=guarded) for x in np.where(guarded, 0, best)), pa.array(guarded | (over <= 0))],
-                [*kept, "class_distance", "word_distance", "verdict"],
-            )
-
-    kind = measured.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, " + ", ".join(f"{x} long" for x in kept[1:]) + ", class_distance double, word_distance double, verdict boolean"
-    return measured.select(*kept, "classes", "common").mapInArrow(run, schema)
+            found = dict(zip(("class_distance", "word_distance", "over"), map(pa.array, (*best, over)), strict=True))
+            yield pa.RecordBatch.from_arrays([found[x] if x in found else column(x) for x in names], names)
+
+    return state.mapInArrow(run, state.select(*names).schema)
+
+
+def judge(measured: DataFrame, refs: DataFrame, min_words: int, max_class: float, max_word: float, max_both: float) -> DataFrame:
+    """Adds class_distance, word_distance (null below ``min_words``) and verdict.
+
+    The limits, of each distance and of their sum, rise by a term that falls with the root of the length.
+    """
+    kept = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    state = measured.select(*kept, "classes", "common", *(F.lit(float("inf")).alias(x) for x in ("class_distance", "word_distance", "over")))
+    every = blocks(refs)
+    block, any_refs = next(every, []), False
+    while block:
+        any_refs, further = True, next(every, [])
+        state = compare(state, block, not further, max_class, max_word, max_both)
+        state, block = durable(state) if further else state, further
+    guarded = (F.col("n_words") < min_words) | F.lit(not any_refs)
+    shown = (F.when(~guarded, F.col(x)).alias(x) for x in ("class_distance", "word_distance"))
+    return state.select(*kept, *shown, (guarded | (F.col("over") <= 0)).alias("verdict"))
 
 
 def quality_report(

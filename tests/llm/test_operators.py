@@ -141,6 +141,20 @@ def test_divergence_rejects_junk_and_keeps_prose(spark):
     assert not any(out[100 + i].kept for i in range(5))
 
 
+def test_rare_languages_have_references(spark, monkeypatch):
+    r = random.Random(3)
+    greek = " ".join("".join(r.choice("αβγδεζηθικλμ") for _ in range(r.randint(2, 9))) for _ in range(120))
+    rows = [(i, " ".join(f"{w}{k % 7}" for k, w in enumerate(prose(r, 60).split())), "en") for i in range(2500)] + [(5000, greek, "el")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = df.filter("doc_id < 10 OR doc_id = 5000")
+    assert all(quality.quality_report(x).filter("doc_id = 5000").first().kept for x in (few, df))
+    mixed = few.unionByName(few.filter("doc_id < 5").selectExpr("doc_id + 10000 AS doc_id", "upper(text) AS text", "concat('l', doc_id) AS lang"))
+    whole = {x.doc_id: x for x in quality.quality_report(mixed).collect()}
+    monkeypatch.setattr(quality, "REFERENCE_ROWS", 2)
+    parts = {x.doc_id: x for x in quality.quality_report(mixed).collect()}
+    assert whole.keys() == parts.keys() and all(parts[i][:8] == x[:8] and parts[i][8:] == pytest.approx(x[8:]) for i, x in whole.items())
+
+
 def test_jensen_shannon_distance():
     p, q = np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 3.0]]), np.array([0.0, 2.0])
     assert quality.distances(p, q) == pytest.approx([1.0, 0.5579230, 0.0], abs=1e-6)
