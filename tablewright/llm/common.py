@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.session import make_importable
@@ -27,11 +28,51 @@ _libc = _libc if hasattr(_libc, "malloc_trim") else None
 BROADCAST_ROWS = 300_000
 
 
+#: Rows under one key from which on it counts as hot where the other side of a join is not broadcast.
+HOT_ROWS = 10_000
+
+
 def few(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast while its counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", small: bool | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once, so that no key of ``left`` loads one task.
+
+    A small right side (counted, unless ``small`` says so) is broadcast. Else the keys that are hot on the left
+    are joined by a broadcast of their own rows alone, of which there are few by their number of rows, and the others by a shuffle.
+    """
+    if right.count() <= BROADCAST_ROWS if small is None else small:
+        return left.join(F.broadcast(right), key, how)
+    hot, least = durable(left.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > HOT_ROWS)), HOT_ROWS
+    while hot.count() > BROADCAST_ROWS:
+        least *= 2
+        hot = hot.filter(F.col("__rows") > least)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot.select(key))
+    rest = left.join(hot, key, "left_anti").join(right, key, how)
+    return rest.unionByName(left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how))
+
+
+def of(df: DataFrame, name: str) -> Column:
+    """A column of ``df`` by its exact name, whatever characters it holds."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def digest_of(text: Column) -> Column:
+    """64 bits of a text, which tell rows under one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose id and text are not those of a row of ``gone`` (id, dig); null ids are equal."""
+    gone = few(durable(gone.select(F.col("id").alias("__gone_id"), F.col("dig").alias("__gone_dig")).distinct()))
+    same = of(df, id_col).eqNullSafe(gone["__gone_id"]) & (digest_of(of(df, text_col)) == gone["__gone_dig"])
+    return df.join(gone, same, "left_anti")
+
+
 def ready(spark: SparkSession) -> None:
     """What the operators ask of a session: workers that find this package, and Arrow batches of bounded size."""
     make_importable(spark)
@@ -45,13 +86,19 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, or a new one where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tablewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that driver and executors share. Where none is named, a new one of this machine, for local sessions alone."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tablewright-")
+    return _own_dirs[context.applicationId]
 
 
 def durable(df: DataFrame) -> DataFrame:
