@@ -8,9 +8,11 @@ their own, of which ``REFERENCE_ROWS`` at a time are on the driver and in the wo
 minimum lengths guard the comparison: below ``min_words`` no verdict is made, and the limits widen with the
 sampling noise of short texts.
 
+Without a language column no references are made and only the base rules decide.
+
 Defined results: a null or empty text has no words and fails the base rules; a null language makes no reference of its
-own; in an empty corpus there are no references and only the base rules decide; repeated rows stay; further
-input columns are carried by ``filter_quality`` and ignored by ``quality_report``.
+own; an empty table gives no rows; repeated rows stay, and rows without an id or with the same id are judged each by its
+own text; further input columns, whatever their names, are carried by ``filter_quality`` and ignored by ``quality_report``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import durable, few, mix, texts_of, window_hashes, word_codes, word_hashes
+from tablewright.llm.common import digest_of, durable, mix, of, texts_of, window_hashes, without_rows, word_codes, word_hashes
 
 # Frequent function words of English, German, French and Spanish, in lower case.
 COMMON_WORDS = """
@@ -108,19 +110,20 @@ FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 
 def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """id, lang, the base counts and both histograms of every document."""
-    names = ["id", "lang", *[x.split()[0] for x in FEATURES.split(", ")]]
+    """id, dig (of the text), lang, the base counts and both histograms of every document."""
+    names = ["id", "dig", "lang", *[x.split()[0] for x in FEATURES.split(", ")]]
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in texts_of(batch, 2):
-                own = [batch.column(i).slice(start, len(texts)) for i in (0, 1)]
+            for start, texts in texts_of(batch, 3):
+                own = [batch.column(i).slice(start, len(texts)) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, k) for x, k in zip(_features(texts), kinds, strict=True))], names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
-    return found.mapInArrow(run, f"id {kind}, lang string, {FEATURES}")
+    text, name = of(docs, text_col).cast("string"), of(docs, id_col).alias("id")
+    lang = of(docs, lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    found = docs.select(name, digest_of(text).alias("dig"), lang.alias("lang"), text.alias("text"))
+    return found.mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, dig long, lang string, {FEATURES}")
 
 
 def base_failed():
@@ -184,7 +187,7 @@ def judge(measured: DataFrame, refs: DataFrame, min_words: int, max_class: float
 
     The limits, of each distance and of their sum, rise by a term that falls with the root of the length.
     """
-    kept = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    kept = ["id", "dig", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     state = measured.select(*kept, "classes", "common", *(F.lit(float("inf")).alias(x) for x in ("class_distance", "word_distance", "over")))
     every = blocks(refs)
     block, any_refs = next(every, []), False
@@ -197,21 +200,25 @@ def judge(measured: DataFrame, refs: DataFrame, min_words: int, max_class: float
     return state.select(*kept, *shown, (guarded | (F.col("over") <= 0)).alias("verdict"))
 
 
-def quality_report(
+def judged_rows(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     min_words: int = 50, max_class: float = 0.28, max_word: float = 0.33, max_both: float = 0.42,
 ) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and both distances of every document."""
+    """id, dig, the base counts, base_failed, kept and both distances of every document."""
     measured = durable(measure(docs, id_col, text_col, lang_col))
     judged = judge(measured, references(measured, min_words), min_words, max_class, max_word, max_both)
     return judged.select(
-        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "id", "dig", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & F.col("verdict")).alias("kept"), "class_distance", "word_distance",
     )
 
 
-def filter_quality(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are kept, with their columns as they are; an id counts as rejected if any of its rows is."""
-    bad = quality_report(docs, id_col=id_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    bad = few(durable(bad.distinct()))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]), "left_anti")
+def quality_report(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and both distances of every document."""
+    return judged_rows(docs, **options).drop("dig").withColumnRenamed("id", "doc_id")
+
+
+def filter_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that are kept, with their columns as they are. A row goes by its own text, whatever rows share its id."""
+    bad = judged_rows(docs, id_col=id_col, text_col=text_col, **options).filter(~F.col("kept"))
+    return without_rows(docs, bad, id_col, text_col)
