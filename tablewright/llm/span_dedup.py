@@ -9,14 +9,17 @@ consecutive ones that are at least two and have ``least_words`` words is hashed.
 passage gives the same runs wherever it stands, and they cover all that the longer runs inside it would. Runs are joined
 globally; of each the first place (smallest id, then position) stays, and in all others the sentences it covers are removed.
 
+Runs are named by 64 bits of a hash, and 32 of another one and their number of words as a check.
+
 Counts of a hash are combined before the shuffle, and only hashes that occur twice are joined back, so a passage that a
 third of all texts share costs one row per task in the first shuffle; its second is a plain join that Spark
 can split.
 
-Defined results: a null or empty text has no sentences; rows without an id are never the first place unless there is no other,
-and are reported under the null id; rows that repeat an id count as one text per row for positions, but the first place
-of a run is one (id, start), so an exact repeat of a row keeps both; letters' case and the kind of blanks don't matter;
-further input columns are ignored by ``repeated_spans`` and carried by ``remove_repeats``.
+Defined results: a null or empty text has no sentences; an empty table gives no rows; rows without an id are never the first
+place unless there is no other, and are reported under the null id; rows that share an id count each by its own text, as do rows
+without one, and the first place of a run is one (id, text, start), so an exact repeat of a row keeps both; letters' case and
+the kind of blanks don't matter; very long texts and many spans cost in proportion; further input columns, whatever their
+names, are ignored by ``repeated_spans`` and carried by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import durable, mix, signed, texts_of, word_codes, word_hashes
+from tablewright.llm.common import digest_of, durable, mix, of, signed, texts_of, word_codes, word_hashes
+from tablewright.llm.texts import replaced
 
 SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?]+(?=[^\s.!?]))*(?:[.!?]+(?=\s|$)|\n|$)")
 
@@ -100,10 +104,10 @@ def sentences(text: str, piece: int) -> list[tuple[int, int, list[bytes]]]:
 
 
 def runs(texts: list[str], least_words: int, piece: int) -> tuple[np.ndarray, ...]:
-    """(text, start, end, hash) of every run of some texts."""
+    """(text, start, end, hash, check) of every run of some texts."""
     _, hashes, size, begin, end, owner = units(texts, piece)
     if not len(size):
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int32))
     edges = np.concatenate([[0], np.cumsum(size)])
     # A hash of a run of words from prefix sums of word hashes scrambled with their places: equal runs at different
     # places must agree, so each sentence is hashed on its own first and runs combine the sentences' hashes in order.
@@ -111,12 +115,15 @@ def runs(texts: list[str], least_words: int, piece: int) -> tuple[np.ndarray, ..
     sentence = np.add.reduceat(mix(hashes + mix(local.astype(np.uint64) + np.uint64(1))), edges[:-1])
     first, last = ends_of_runs(edges, owner, least_words)
     state, live = mix(sentence[first]), np.arange(len(first))
+    other = np.add.reduceat(mix(hashes ^ mix(local.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))), edges[:-1])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(other))])  # the check needs no order: the hash has it
+    check = mix(sums[last + 1] - sums[first] + (edges[last + 1] - edges[first]).astype(np.uint64))
     step = 0
     while len(live):  # each round adds one more sentence to the runs that are still short
         step += 1
         live = live[first[live] + step <= last[live]]
         state[live] = mix(state[live] + mix(sentence[first[live] + step] + np.uint64(1)))
-    return owner[first], begin[first], end[last], state
+    return owner[first], begin[first], end[last], state, (check >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def ends_of_runs(edges: np.ndarray, owner: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,59 +139,72 @@ def ends_of_runs(edges: np.ndarray, owner: np.ndarray, least_words: int) -> tupl
 
 
 def span_rows(docs: DataFrame, least_words: int, piece: int) -> DataFrame:
-    """id, h, s, e for every run; ``docs`` has id and text."""
+    """id, dig, h, c, s, e for every run; ``docs`` has id, text and dig (of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for start, texts in texts_of(batch):
-                owner, begin, end, state = runs(texts, least_words, piece)
+                owner, begin, end, state, check = runs(texts, least_words, piece)
+                own = pa.array(owner + start)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner + start)), pa.array(signed(state)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["id", "h", "s", "e"]
+                    [batch.column(0).take(own), batch.column(2).take(own), pa.array(signed(state)), pa.array(check), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))],
+                    ["id", "dig", "h", "c", "s", "e"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, h long, s int, e int")
-
-
-def merged(spans: Column) -> Column:
-    """Sorted (s, e) pairs as disjoint stretches."""
-
-    def add(out: Column, x: Column) -> Column:
-        end = F.try_element_at(out, F.lit(-1))
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(end["s"].alias("s"), F.greatest(end["e"], x["e"]).alias("e"))))
-        return F.when((F.size(out) > 0) & (x["s"] <= end["e"]), joined).otherwise(F.concat(out, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<s:int,e:int>>"), add)
-
-
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 25, piece: int = 25) -> DataFrame:
+    return docs.select("id", "text", "dig").mapInArrow(run, f"id {kind}, dig long, h long, c int, s int, e int")
+
+
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted places (start * 2^32 + end) of every row as disjoint stretches, in a column of the same name and kind."""
+    for batch in batches:
+        at = batch.schema.get_field_index("places")
+        lists = batch.column(at)
+        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
+        offsets = offsets - offsets[0]
+        row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+        begin, end = flat >> 32, flat & 0xFFFFFFFF
+        # Rows are laid one behind the other, each in a room of its own, so that one running maximum serves all.
+        room = row * ((int(end.max()) if len(end) else 0) + 2)
+        reach = np.maximum.accumulate(end + room)
+        fresh = np.concatenate([[True], begin[1:] + room[1:] > reach[:-1]]) if len(flat) else np.empty(0, bool)
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(flat)) - 1
+        joined = (begin[first] << 32) | (reach[last] - room[last])
+        counts = np.bincount(row[first], minlength=len(lists)) if len(first) else np.zeros(len(lists), np.int64)
+        made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(joined))
+        yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+
+def removed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 25, piece: int = 25) -> DataFrame:
+    """id, dig (of the text), spans (structs of s and e, disjoint and sorted) and first_docs of every text that loses something."""
+    text = of(docs, text_col).cast("string")
+    plain = docs.select(of(docs, id_col).alias("id"), text.alias("text"), digest_of(text).alias("dig"))
+    rows = span_rows(plain, least_words, piece)
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "dig", "s")
+    twice = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    twice = durable(twice.select("h", "c", "first"))  # so that the join has a shuffle of its own on either side, of which Spark splits hot keys
+    again = rows.join(twice, ["h", "c"]).filter(place != F.col("first"))
+    held = F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long"))
+    found = again.groupBy("id", "dig").agg(F.array_sort(F.collect_set(held)).alias("places"), F.array_sort(F.collect_set("first.id")).alias("first_docs"))
+    found = found.mapInArrow(stretches, found.schema)
+    spans = F.transform("places", lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("s"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("e")))
+    return found.select("id", "dig", spans.alias("spans"), "first_docs")
+
+
+def repeated_spans(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_removed (stretches), removed (their places as s:e, comma-joined) and first_docs (where they stand first).
 
     Only texts from which something is removed have a row.
     """
-    plain = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = span_rows(plain, least_words, piece)
-    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "s")
-    twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first.id", "first.s").toDF("h", "first_id", "first_s")
-    twice = durable(twice)  # so that the join has a shuffle of its own on either side, of which Spark splits hot keys
-    again = rows.join(twice, "h").filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("s") == F.col("first_s"))))
-    found = again.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_docs"))
-    found = found.withColumn("spans", merged(F.col("spans")))
-    return found.select(
-        F.col("id").alias("doc_id"), F.size("spans").cast("long").alias("n_removed"),
-        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["s"], x["e"])), ",").alias("removed"), "first_docs", "spans",
-    )
+    shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
+    return removed_rows(docs, **options).select(F.col("id").alias("doc_id"), F.size("spans").cast("long").alias("n_removed"), shown.alias("removed"), "first_docs", "spans")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with repeated sentences cut out of their texts. Rows that share an id are cut alike."""
-    found = repeated_spans(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("found_id"), "spans")
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("row_id"))  # so that no name clashes
-    text = F.col("row")[text_col]
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    folded = F.aggregate("spans", start, lambda a, m: F.struct(m["e"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, m["s"] - a["at"]))).alias("out")))
-    clean = F.transform(F.array(folded), lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))[0]
-    clean = F.when(F.col("spans").isNull(), text).otherwise(clean)
-    joined = packed.join(found, F.col("row_id").eqNullSafe(F.col("found_id")), "left")
+    """The documents with repeated sentences cut out of their texts. A row loses what its own text holds, whatever rows share its id."""
+    found = removed_rows(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("found_id"), F.col("dig").alias("found_dig"), "spans")
+    packed = docs.select(F.struct(*(of(docs, c).alias(c) for c in docs.columns)).alias("row"), of(docs, id_col).alias("row_id"), digest_of(of(docs, text_col)).alias("row_dig"))  # so that no name clashes
+    joined = packed.join(found, F.col("row_id").eqNullSafe(F.col("found_id")) & (F.col("row_dig") == F.col("found_dig")), "left")
+    clean = replaced(F.col("row")[text_col], F.col("spans"), lambda m, done: F.lit(""))
     return joined.select(*((clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
