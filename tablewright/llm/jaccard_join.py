@@ -22,8 +22,8 @@ candidates, and these alone are looked up in the long lists by binary search.
 
 Defined results: a null or empty text, or one without words, has n_shingles 0 and is its own component; a text of fewer words
 than ``width`` is one shingle; rows without an id belong to their class but never name it (their component is null if nothing
-names it); repeated rows stay, and an id on several texts ties nothing together but is counted for each; further
-input columns are ignored by ``link_classes`` and carried by ``keep_one``.
+names it); repeated rows stay, and an id on several texts ties nothing together but is counted for each; an empty table gives no
+rows; further input columns, whatever their names, are ignored by ``link_classes`` and carried by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import durable, few, signed, texts_of, window_hashes, word_codes, word_hashes
+from tablewright.llm.common import digest_of, durable, few, lookup, of, signed, texts_of, window_hashes, without_rows, word_codes, word_hashes
 from tablewright.llm.components import components
 
 #: Classes per block, and queries per block and task.
@@ -68,16 +68,17 @@ def digest(own: np.ndarray) -> int:
 
 
 def base_rows(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, dig of every document."""
+    """id, own (digest of the text), n, dig (of the set) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in texts_of(batch):
                 sets = shingle_sets(texts, width)
-                columns = [batch.column(0).slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "dig"])
+                columns = [*(batch.column(i).slice(start, len(texts)) for i in (0, 2)), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "own", "n", "dig"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, dig long")
+    made = docs.select("id", "text", digest_of(F.col("text")).alias("own"))
+    return made.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, own long, n long, dig long")
 
 
 def prefix_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -289,11 +290,12 @@ def _salted(r: int):
     return lambda t: F.xxhash64(t, F.lit(r))
 
 
-def link_classes(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, rounds: int = 2
-) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    plain = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+def linked_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, rounds: int = 2) -> DataFrame:
+    """id, own (digest of the text), n, name and keep (structs of unnamed, id, own) of every document with shingles or without.
+
+    ``name`` is the smallest id of the component, ``keep`` the id and text of its first document by id, those without one last.
+    """
+    plain = docs.select(of(docs, id_col).alias("id"), of(docs, text_col).cast("string").alias("text"))
     base = durable(base_rows(plain, width))
     able = candidates(plain, base, width)
     links = durable(provisional(able, rounds))
@@ -302,7 +304,9 @@ def link_classes(
 
     # Blocks: at most about BLOCK classes of one component.
     sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("csize")).filter("csize > 1")
-    mine = found.select("dig", "n", "comp", F.size("toks").alias("k"), F.slice("toks", 1, (F.size("toks") - F.floor((3 * F.col("n") + 3) / 4) + 1).cast("int")).alias("prefix")).join(few(sizes), "comp", "left").fillna(1, ["csize"])
+    sizes = durable(sizes)
+    mine = found.select("dig", "n", "comp", F.size("toks").alias("k"), F.slice("toks", 1, (F.size("toks") - F.floor((3 * F.col("n") + 3) / 4) + 1).cast("int")).alias("prefix"))
+    mine = lookup(mine, sizes, "comp", "left").fillna(1, ["csize"])
     block = F.xxhash64("comp", F.pmod(F.xxhash64("dig"), F.ceil(F.col("csize") / BLOCK)))
     mine = durable(mine.withColumn("block", block))
     posts = mine.select("dig", "n", "k", "comp", "csize", "block", F.posexplode("prefix").alias("pos", "t"))
@@ -315,39 +319,46 @@ def link_classes(
     reach = 7 * F.least(F.col("k") - F.col("pos"), F.col("rest")) >= 3 * (F.col("n") + partner)
     asks = posts.join(held, "t").filter((F.col("comp") != F.col("bcomp")) & smaller & fits & reach).select("dig", "where").distinct()
     asks = durable(asks)
-    crowd = asks.groupBy("where").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
-    queries = asks.join(crowd, "where").select("dig", F.xxhash64("where", F.pmod(F.xxhash64("dig"), "parts")).alias("g"), F.lit(1).alias("kind"))
-    members = mine.select("dig", F.col("block").alias("where")).join(crowd, "where").select("dig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), "where")
+    crowd = durable(asks.groupBy("where").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts")))
+    queries = lookup(asks, crowd, "where").select("dig", F.xxhash64("where", F.pmod(F.xxhash64("dig"), "parts")).alias("g"), F.lit(1).alias("kind"))
+    members = lookup(mine.select("dig", F.col("block").alias("where")), crowd, "where").select("dig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), "where")
     members = members.select("dig", F.xxhash64("where", "p").alias("g"), F.lit(0).alias("kind"))
     more = durable(search_groups(found.select("dig", "n", "toks").join(queries.unionByName(members), "dig")))
 
-    # Components of components, and their names.
-    tops = found.select("dig", "comp")
-    over = more.join(tops.toDF("a", "ca"), "a").join(tops.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    last = components(over).toDF("comp", "top")
-    names = base.filter("n > 0").groupBy("dig").agg(F.min("id").alias("rep"))
-    final = found.select("dig", "comp").join(few(last), "comp", "left").select("dig", F.coalesce("top", "comp").alias("comp"))
+    # Components of components, and their names. A class of many links loads no task: classes are looked up once each.
+    ends = found.select("dig", "comp").join(more.select(F.explode(F.array("a", "b")).alias("dig")).distinct(), "dig")
+    ends = durable(ends)
+    over = lookup(lookup(more, ends.toDF("a", "ca"), "a"), ends.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    last = durable(components(over).toDF("comp", "top"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "own"))
+    names = base.filter("n > 0").groupBy("dig").agg(first.alias("rep"))
+    final = lookup(found.select("dig", "comp"), last, "comp", "left").select("dig", F.coalesce("top", "comp").alias("comp"))
     able_reps = durable(names.join(few(durable(final)), "dig"))  # other classes are their own component
-    lowest = few(durable(able_reps.groupBy("comp").agg(F.min("rep").alias("name"))))
-    renamed = few(durable(able_reps.join(lowest, "comp").select("dig", "name")))
-    named = names.join(renamed, "dig", "left").select("dig", F.coalesce("name", "rep").alias("name"))
+    lowest = durable(able_reps.groupBy("comp").agg(F.min("rep").alias("keep")))
+    renamed = few(durable(lookup(able_reps, lowest, "comp").select("dig", "keep")))
+    named = names.join(renamed, "dig", "left").select("dig", F.coalesce("keep", "rep").alias("keep"))
     named = durable(named)  # so that the last join has a shuffle of its own on either side, of which Spark splits hot texts
-    out = base.join(named, "dig", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
+    return base.join(named, "dig", "left").select("id", "own", "n", F.when(F.col("n") > 0, F.col("keep")).alias("keep"))
+
+
+def link_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    name = F.when(F.col("n") > 0, F.col("keep.id")).otherwise(F.col("id"))
+    return linked_rows(docs, **options).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), name.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that name their component, with their columns as they are.
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Of every component the first document by id, with its columns as they are; those without an id come last.
 
-    Rows that share an id go together; of those that repeat id and text one stays. Rows without an id stay, as no
-    name tells them apart.
+    A row goes by its own id and text. Of rows that repeat both one stays; texts without shingles all stay.
     """
-    linked = durable(link_classes(docs, id_col=id_col, **options).filter(F.col("doc_id").isNotNull()))
-    gone = few(durable(linked.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()))
-    out = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
-    again = linked.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__id")
+    linked = durable(linked_rows(docs, id_col=id_col, text_col=text_col, **options))
+    other = F.col("keep").isNotNull() & ~(F.col("keep.id").eqNullSafe(F.col("id")) & (F.col("keep.own") == F.col("own")))
+    out = without_rows(docs, linked.filter(other).select("id", F.col("own").alias("dig")), id_col, text_col)
+    again = linked.filter("n > 0").groupBy("id", "own").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    again = durable(again.select(F.col("id").alias("again_id"), F.col("own").alias("again_own")))
     if again.isEmpty():
         return out
-    text_col = options.get("text_col", "text")
-    one = out.join(again, out[id_col] == again["__id"], "left_semi").dropDuplicates([id_col, text_col])
-    return out.join(again, out[id_col] == again["__id"], "left_anti").unionByName(one)
+    same = of(out, id_col).eqNullSafe(again["again_id"]) & (digest_of(of(out, text_col)) == again["again_own"])
+    one = out.join(few(again), same, "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(few(again), same, "left_anti").unionByName(one)
