@@ -6,6 +6,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -268,6 +269,44 @@ def test_mined_rules_equal_brute_force(spark):
     assert min(x.mined_confidence for x in out if x.verdict == "block") >= min(sure, 0.8)
 
 
+def test_no_token_is_too_far_behind(spark):
+    """Telling tokens in the fifth path word, the last query key, or a domain behind six subdomains."""
+    r = random.Random(15)
+    made = {
+        "path": lambda bad: f"http://h{r.randint(1, 3)}.io/1/a/b/c/d/{'casino' if bad else 'news'}/{{}}",
+        "query": lambda bad: f"http://h{r.randint(1, 3)}.io/1/x?a=1&b=2&c=3&d=4&{'aff' if bad else 'ref'}=1&id={{}}",
+        "domain": lambda bad: f"http://a.b.c.d.e.f.{'bad' if bad else 'good'}{r.randint(1, 2)}.{'biz' if bad else 'org'}/1/{{}}",
+    }
+    for kind, make in made.items():
+        rows = [(i, make(i % 3 == 0).format(i).replace("/1/", f"/1/{i}/", 1)) for i in range(600)]
+        marks = [(i, int(i % 3 != 0), 0) for i in range(300)]  # the others are judged by what these tell
+        out = url_rules.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), support=0.05, confidence=0.9)
+        assert {x.page_id for x in out.filter("verdict = 'block'").collect()} == {i for i, _ in rows if i % 3 == 0}, kind
+
+
+def mined_by_hand(rows, least, confidence):
+    """Every set of tokens with the support and confidence asked for of which no proper part is as sure."""
+    sure = {}
+    for items in {frozenset(c) for t, _ in rows for n in range(1, 6) for c in itertools.combinations(sorted(t), n)}:
+        hits = [bad for t, bad in rows if items <= t]
+        if sum(hits) >= least and sum(hits) / len(hits) >= confidence:
+            sure[items] = sum(hits) / len(hits)
+    return {items: c for items, c in sure.items() if not any(part < items and p >= c for part, p in sure.items())}
+
+
+def test_mining_equals_mining_by_hand(spark):
+    r = random.Random(23)
+    rows = []
+    for _ in range(400):
+        t = frozenset(x for x in "abcde" if r.random() < 0.45) | {"z"}
+        rows.append((t, r.random() < (0.9 if {"a", "b"} <= t else 0.75 if "c" in t else 0.1)))
+    pages = spark.createDataFrame([(i, list(t)) for i, (t, _) in enumerate(rows)], "key long, tokens array<string>")
+    labels = spark.createDataFrame([(i, bad) for i, (_, bad) in enumerate(rows)], "key long, bad boolean")
+    out = url_rules.mine(pages, labels, support=0.0, least_rows=15, confidence=0.6, least_labels=10, most_items=10).collect()
+    truth = mined_by_hand([(t - {"z"}, bad) for t, bad in rows], 15, 0.6)
+    assert {frozenset(x["items"]): round(x.confidence, 9) for x in out} == {k: round(v, 9) for k, v in truth.items()} and len(truth) >= 3
+
+
 # ---- Encoders --------------------------------------------------------------------------------------------------------
 
 
