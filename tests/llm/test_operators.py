@@ -756,3 +756,35 @@ def test_shards_are_even_with_a_hot_text(spark):
     assert all(len(s) == 1 for s in twins.values())
     again = {(x.doc_id, x.shard, x.slot) for x in sharding.shard_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), shards=24).collect()}
     assert again == {(x.doc_id, x.shard, x.slot) for x in out}
+
+
+def test_shards_of_hot_and_repeated_rows(spark, monkeypatch):
+    """Texts and whole rows that fill many groups, ids that are text or null, and columns with odd names."""
+    monkeypatch.setattr(sharding, "GROUP", 50)
+    monkeypatch.setattr(sharding, "SAMPLE", 2000)
+    r = random.Random(6)
+    rows = [(f"a{i}", "hot " * 30) for i in range(1500)] + [("twin", "same row" * 9)] * 700 + [(None, None)] * 300 + [(f"b{i}", "y" * r.randint(0, 300)) for i in range(2000)]
+    df = spark.createDataFrame([(*x, 1, "k") for x in rows], "doc_id string, text string, h int, `k.u` string").repartition(5)
+    by = check_shards(rows, out := sharding.shard_report(df, shards=6).collect(), 6)
+    sizes = [sum(x.size for x in own) for own in by.values()]
+    assert len(sizes) == 6 and max(sizes) <= 1.05 * sum(sizes) / 6 and min(sizes) >= 0.95 * sum(sizes) / 6
+    key = lambda x: (x.doc_id or "", x.shard, x.slot)
+    assert sorted(map(key, sharding.shard_report(df.repartition(3), shards=6).collect())) == sorted(map(key, out))
+    one = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert [(0 <= x.shard < 24, x.slot) for x in sharding.shard_report(one).collect()] == [(True, 0)]
+
+
+def test_shards_on_samples(spark, sample):
+    by = check_shards([(x.doc_id, x.text) for x in sample.collect()], sharding.shard_report(sample, shards=4).collect(), 4)
+    sizes = [sum(x.size for x in own) for own in by.values()]
+    longest = max(len((x.text or "").encode()) for x in sample.collect())
+    assert max(sizes) - min(sizes) <= 2 * longest + 0.06 * sum(sizes) / 4
+
+
+def test_range_search_equals_comparing(spark):
+    r = random.Random(8)
+    splitters = np.array(sorted((r.randint(0, 3), r.randint(0, 3), r.randint(0, 5)) for _ in range(30)), np.int64)
+    keys = [(r.randint(-1, 4), r.randint(-1, 4), r.randint(-1, 6)) for _ in range(400)]
+    df = spark.createDataFrame(keys, "h long, k long, u long")
+    for x in df.withColumn("part", sharding._range_of(splitters)("h", "k", "u")).collect():
+        assert x.part == sum(tuple(s) <= (x.h, x.k, x.u) for s in splitters.tolist())
