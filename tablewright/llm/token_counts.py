@@ -5,22 +5,25 @@ Two deterministic machines are compiled from a byte-level BPE tokenizer file:
 * a splitter over character classes that marks where the pre-tokens of a text begin. A text is cut into equal chunks;
   every chunk gets its state map (exit state for every entry state), all chunks at once, the maps compose
   through a parallel prefix scan, and the entry states so found let all chunks mark their boundaries together.
-* a counter over the bytes of a pre-token. Its states are the prefixes seen so far with the last token of the prefix's
-  encoding; a transition carries the number of tokens that the longer prefix has more (or less). The sum along a
-  pre-token is its number of tokens. States are made when first reached and dropped together at a bound.
-
-Defined results: a null text counts as empty (0 tokens); ids that are null stay null; rows that repeat stay; further
-input columns are ignored. A special string in a text counts as one token, as the tokenizer's default has it.
+* a counter over the bytes of a pre-token. The encoding of a prefix ends in one token, and which token ends a longer prefix depends on
+  the last tokens at the few places where a token may still begin. A state is just that: these places, by their distance from
+  the end, each with its last token and the number of tokens since. So prefixes that go on alike share a state, states are finitely
+  many, and a transition carries the number of tokens that the longer prefix has more (or less); their sum along a pre-token is
+  its count. States and transitions are made when first reached, and dropped together at a bound. A pre-token of several
+  chunks is counted chunk by chunk: every chunk gets its map (exit state and count for the entry states that come up when the text before
+  it is read from the start state), and the maps compose through the same scan; where the entry state is another one after
+  all, the chunk is read again from it.
+
+Defined results: a null text counts as empty (0 tokens); an empty table gives no rows; ids that are null stay null; rows that
+repeat stay; very long texts and pre-tokens cost in proportion; further input columns, whatever their names, are ignored. A special string in a text counts as one token, as the tokenizer's default has it.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 from collections.abc import Iterator
 from functools import cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -28,11 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from tablewright.llm.bpe import PairTest
-from tablewright.llm.common import texts_of
+from tablewright.llm.common import of, texts_of
 
-#: Characters per chunk of the prefix scan, and those after which entry states are compared; states of the counter that a
-#: worker keeps, how deep (deeper ones are seldom met again and made anew), and pre-tokens that it keeps.
-CHUNK, SYNC, KEPT_STATES, DEPTH, KEPT_WORDS = 512, 24, 200_000, 6, 300_000
+#: Characters per chunk of the prefix scan, and those after which entry states are compared; transitions of the counter that a
+#: worker keeps, characters that are read ahead of a chunk for its entry state, and pre-tokens that a worker keeps.
+CHUNK, SYNC, KEPT_ARCS, AHEAD, KEPT_WORDS = 512, 24, 300_000, 64, 300_000
 
 # Character classes of the splitter.
 LETTER, NUMBER, OTHER, BLANK, SPACE, QUOTE, L_STMD, L_R, L_V, L_L, L_E, FINAL = range(12)
@@ -154,66 +157,79 @@ class Counter:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         ranks = {pair: i for i, pair in enumerate(merges)}
         self.apart = PairTest(lambda a, b: ranks.get((a, b)))
-        self.automaton = ahocorasick.Automaton()
-        for token in vocab:
-            if len(token) > 1 and self.apart.encode(token) == [token]:  # a token that no merges reach never occurs
-                self.automaton.add_word(token, (token, len(token)))
-        self.automaton.make_automaton()
+        self.tokens = {t for t in vocab if len(t) > 1 and self.apart.encode(t) == [t]}  # a token that no merges reach never occurs
+        self.begins = {t[:n] for t in self.tokens for n in range(1, len(t))}
         self.reset()
 
     def reset(self) -> None:
-        #: A state is a dictionary of transitions by character: (next state, change of the count, last token).
-        self.start: dict = {}
+        #: By state: its places, longest first, as (what follows the place, last token before it, tokens from it to the end); and
+        #: its transitions by character: (next state, change of the count). State 0 is that of no character.
+        self.places: list[tuple] = [(("", "", 0),)]
+        self.arcs: list[dict[str, tuple[int, int]]] = [{}]
+        self.known = {self.places[0]: 0}
         self.made = 0
 
-    def count(self, word: str) -> int:
-        """Runs the transducer over a pre-token (in the byte alphabet), adding up what its transitions carry.
+    def arc(self, state: int, c: str) -> tuple[int, int]:
+        """Makes the transition of a state by a character."""
+        places = self.places[state]
+        token, gain = c, 1  # the character stands alone
+        for follows, last, count in places:  # the longest token that ends here and can follow what stands before it
+            longer = follows + c
+            if longer in self.tokens and (not last or self.apart(last, longer)):
+                token, gain = longer, 1 - count
+                break
+        own = [(follows + c, last, count + gain) for follows, last, count in places if follows + c in self.begins]
+        key = (*own, ("", token, 0))
+        to = self.known.get(key)
+        if to is None:
+            to = self.known[key] = len(self.places)
+            self.places.append(key)
+            self.arcs.append({})
+        self.made += 1
+        out = self.arcs[state][c] = (to, gain)
+        return out
 
-        Where a transition is missing, it is made: the longest token that ends there and can follow the last token of
-        the prefix before it is the last one of the longer prefix.
-        """
-        if self.made > KEPT_STATES:
+    def run(self, state: int, text: str) -> tuple[int, int]:
+        """Exit state and count of a text read from a state."""
+        arcs, total = self.arcs, 0
+        for c in text:
+            found = arcs[state].get(c) or self.arc(state, c)
+            state = found[0]
+            total += found[1]
+        return state, total
+
+    def count(self, word: str) -> int:
+        """Tokens of a pre-token (in the byte alphabet)."""
+        if self.made > KEPT_ARCS:
             self.reset()
-        node, total, way, at = self.start, 0, [], 0
-        for c in word:
-            arc = node.get(c)
-            if arc is None:
-                break
-            node = arc[0]
-            total += arc[1]
-            way.append((arc[2], total))
-            at += 1
-        else:
-            return total
-        apart, known = self.apart, self.apart.known.get
-        way += [("", 0)] * (len(word) - at)
-        i = at
-        for end, (token, size) in itertools.chain(self.automaton.iter(word), ((len(word), ("", 0)),)):  # by end, the longest first
-            if end < i:
-                continue
-            while i < end:  # no token ends at i that fits: the character stands alone
-                way[i] = (word[i], (way[i - 1][1] if i else 0) + 1)
-                i += 1
-            if end == len(word):
-                break
-            start = end + 1 - size
-            if start:
-                last, count = way[start - 1]
-                fits = known((last, token))
-                if fits is None:
-                    fits = apart(last, token)
-                if not fits:
-                    continue
-                way[end] = (token, count + 1)
-            else:
-                way[end] = (token, 1)
-            i = end + 1
-        for k in range(at, min(DEPTH, len(word))):
-            last, whole = way[k]
-            arc = node[word[k]] = ({}, whole - total, last)
-            node, total = arc[0], whole
-            self.made += 1
-        return way[-1][1]
+        if len(word) <= 2 * CHUNK:
+            return self.run(0, word)[1]
+        chunks = [word[i : i + CHUNK] for i in range(0, len(word), CHUNK)]
+        maps: list[dict[int, tuple[int, int]]] = []
+        for i, chunk in enumerate(chunks):
+            entry = self.run(0, word[max(0, i * CHUNK - AHEAD) : i * CHUNK])[0]
+            maps.append({entry: self.run(entry, chunk)})
+        return self.composed(maps, chunks)[1]
+
+    def composed(self, maps: list[dict[int, tuple[int, int]]], chunks: list[str]) -> tuple[int, int]:
+        """The map of all chunks from state 0, by pairs of neighbours; an entry that is missing is read."""
+        runs = [[chunk] for chunk in chunks]
+        while len(maps) > 1:
+            joined, texts = [], []
+            for i in range(0, len(maps) - 1, 2):
+                out = {}
+                for entry, (middle, n) in maps[i].items():
+                    if middle not in maps[i + 1]:
+                        maps[i + 1][middle] = self.run(middle, "".join(runs[i + 1]))
+                    exit_, more = maps[i + 1][middle]
+                    out[entry] = (exit_, n + more)
+                joined.append(out)
+                texts.append(runs[i] + runs[i + 1])
+            if len(maps) % 2:
+                joined.append(maps[-1])
+                texts.append(runs[-1])
+            maps, runs = joined, texts
+        return maps[0][0]
 
 
 class Machine:
@@ -302,5 +318,6 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, *, limit: int = 512, id_c
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    plain = docs.select(of(docs, id_col).alias("doc_id"), of(docs, text_col).cast("string").alias("text"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    return plain.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
