@@ -393,6 +393,34 @@ def test_template_labels(spark):
     assert out[1].labels == "gpl,gpl-3.0-notice" and out[2].labels == "cc-by-nc-4.0-notice" and out[2].base_labels == "" and out[2].score == 1.0 and out[3].labels == ""
 
 
+def filled(markup):
+    """A text that the markup accepts: options left out, first alternatives, no replaceable words."""
+    markup = re.sub(r"\[\[.*?\]\]", "", markup)
+    markup = re.sub(r"\{\{(.*?)\}\}", lambda m: m[1].split("|")[0], markup)
+    return re.sub(r"<<\d+>>", "", markup)
+
+
+def test_whole_license_texts():
+    """Every template accepts its own text, whole texts refuse one with any word changed or left out, and the BSD licenses are told apart."""
+    m = license_scan.automaton(license_scan.TEMPLATES)
+    r = random.Random(19)
+    for label, markup in license_scan.TEMPLATES.items():
+        words = license_scan.words_of(filled(markup))
+        found, score = m.match([b"some", b"title", *words, b"end"])
+        assert label in found and score == 1.0
+        if not label.endswith("-text"):
+            continue
+        for _ in range(15):
+            at = r.randrange(len(words))
+            if words[at] not in (b"1", b"2", b"3"):
+                assert label not in m.match(words[:at] + [b"zzz"] * r.randint(0, 1) + words[at + 1 :])[0], (label, at)
+    two, three = (set(m.match(license_scan.words_of(filled(license_scan.TEMPLATES[f"bsd-{n}-clause-text"])))[0]) for n in (2, 3))
+    assert two == {"bsd-2-clause-text"} and three == {"bsd-3-clause-text"}
+    text = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    for name, version, label in (("General Public License", "2", "gpl-2.0-or-later-notice"), ("General Public License", "3", "gpl-3.0-or-later-notice"), ("Lesser General Public License", "2.1", "lgpl-2.1-or-later-notice"), ("Affero General Public License", "3", "agpl-3.0-or-later-notice")):
+        assert set(m.match(license_scan.words_of(text.format(name, version)))[0]) == {label}
+
+
 # ---- Decontamination -------------------------------------------------------------------------------------------------
 
 
