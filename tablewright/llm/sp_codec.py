@@ -4,8 +4,8 @@ Pieces hold the word mark only in front, or are made of marks alone, so no merge
 a text falls into words that are encoded on their own. Each distinct word is encoded once per worker while it
 stays in a bounded table; a word without blanks may be a whole text and is still encoded in linear steps.
 
-Defined results: a null text counts as empty and gives the end id alone; ids that are null stay null; rows that repeat
-stay; further input columns are ignored.
+Defined results: a null text counts as empty and gives the end id alone; an empty table gives no rows; ids that are null stay
+null; rows that repeat stay; further input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from tablewright.llm.bpe import PrefixTable
-from tablewright.llm.common import texts_of
+from tablewright.llm.common import of, texts_of
 
 MARK = "▁"
 #: Words that a worker keeps with their ids, and the longest of them.
@@ -110,6 +110,7 @@ def encode_texts(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * full]
-    kind = docs.schema[id_col].dataType.simpleString()
+    plain = docs.select(of(docs, id_col).alias("doc_id"), of(docs, text_col).cast("string").alias("text"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)
