@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. The first three drop documents, the
 fourth masks secrets inside texts, the last returns ids, token ids and decoded texts. Between stages the documents are
 written as Parquet to the shared folder and read again, so a lost executor costs no earlier stage.
+
+Defined results, for every stage: an empty table stays one; rows without an id, or with the id of another row, are judged each by
+its own text, and none goes because another one does; extra columns are carried, whatever their names; repeated rows are alike to the
+first stage, the third and the fourth, and the second keeps one of them. Null and empty texts go in the first stage, as they have too few words;
+a stage that gets them by itself leaves them as they are, and the last gives them the end id alone.
 """
 
 from __future__ import annotations
@@ -37,9 +42,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; n_chars follows."""
+    """Secrets are masked in the texts; n_chars follows where it is there."""
     ready(spark)
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = secret_scan.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
