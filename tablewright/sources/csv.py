@@ -1,10 +1,15 @@
-"""Delimited text: encoding, delimiter and header are settled on the driver from a head of the file; rows are read by Spark as
-text and typed by one aggregate over all columns."""
+"""Delimited text: delimiter and header are settled on the driver from a head of the file, encoding and quoted line breaks by Spark
+over all of it; rows are read by Spark as text and typed by one aggregate over all columns.
+
+A quote opens a text only where a field begins, as in ``5" wide`` it doesn't. Where no line ends inside such a text, the file is read
+in as many tasks as it has splits; else lines belong together and one task reads them.
+"""
 
 from __future__ import annotations
 
 import csv as stdcsv
 import io
+import re
 from functools import reduce
 from operator import or_
 
@@ -52,6 +57,39 @@ def decode(head: bytes, whole: bool) -> tuple[str, str]:
     raise LoadError("the text's encoding is unknown")
 
 
+def all_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether every line of the file is valid UTF-8."""
+    return spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
+
+
+def quoting(spark: SparkSession, path: str, delimiter: str, encoding: str) -> str:
+    """"line" where quotes are closed in the line that opens them, "lines" where some go on, "open" where the last one is never closed.
+
+    A line leads from outside a quoted text to inside or outside, and likewise from inside. Lines without quotes change
+    nothing; of the others both ways are found by patterns, and composed in order only if some line leads inside.
+    """
+    mark = re.escape(delimiter)
+    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if encoding == "latin-1" else F.col("value")
+    rest = rf'(?:[^"{mark}][^{mark}]*)?'  # of a field without quotes, or behind a closing one
+    fields = rf'^(?:(?:"(?:[^"]|"")*"(?!"){rest}|{rest}){mark})*+'
+    opened = r'^"(?:[^"]|"")*+$'  # a last field whose quote is not closed
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), text.alias("value")).filter(F.contains("value", F.lit('"')))
+    ends = lambda line: F.regexp_replace(line, fields, "").rlike(opened)
+    closed = F.regexp_replace("value", r'^(?:[^"]|"")*+"(?!")', "")
+    ways = lines.select("at", ends(F.col("value")).alias("out"), (~F.col("value").rlike(r'^(?:[^"]|"")*+"(?!")') | ends(F.concat(F.lit("x"), closed))).alias("in"))
+    if ways.filter("out").isEmpty():
+        return "line"
+    inside = False
+    for way in ways.orderBy("at").toLocalIterator():  # such a file is read by one task anyway
+        inside = way["in"] if inside else way["out"]
+    return "open" if inside else "lines"
+
+
+def decode_latin(head: bytes) -> str:
+    """The head as Latin-1, without a byte order mark."""
+    return head.removeprefix(b"\xef\xbb\xbf").decode("latin-1")
+
+
 def find_delimiter(text: str) -> str:
     """The delimiter of the first lines; a comma where none occurs."""
     first = next((line for line in text.splitlines() if line.strip()), "")
@@ -117,10 +155,14 @@ def read_csv(spark: SparkSession, path: str, limits: Limits | None = None, name:
     header = find_header(text, delimiter)
     if limits.max_columns is not None and len(header) > limits.max_columns:
         raise LoadError(f"the file has more than {limits.max_columns} columns")
-    if length == len(head) and text.count('"') % 2:
+    if encoding != "latin-1" and length > len(head) and not all_utf8(spark, path):
+        encoding = "latin-1"
+        header = find_header(decode_latin(head), delimiter)
+    quotes = quoting(spark, path, delimiter, encoding)
+    if quotes == "open":
         raise LoadError("the file could not be parsed: a quote is left open")
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))] + [T.StructField(BROKEN, T.StringType())])
-    options = {"header": True, "multiLine": True, "escape": '"', "sep": delimiter, "encoding": "ISO-8859-1" if encoding == "latin-1" else "UTF-8", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "enforceSchema": True}
+    options = {"header": True, "multiLine": quotes == "lines", "escape": '"', "sep": delimiter, "encoding": "ISO-8859-1" if encoding == "latin-1" else "UTF-8", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "enforceSchema": True}
     raw = spark.read.schema(schema).options(**options).csv(path)
     fields = [F.col(f"c{i}") for i in range(len(header))]
     held = raw.filter(reduce(or_, (f.isNotNull() for f in fields)) | F.col(BROKEN).isNotNull())

@@ -17,6 +17,7 @@ from tablewright.operators.query import QuerySpec, run_query
 from tablewright.operators.stats import TableStats
 from tablewright.plans import sqlguard
 from tablewright.sinks import files, records
+from tablewright.sources import csv as csv_source
 from tablewright.sources.load import load
 
 
@@ -55,6 +56,7 @@ CASES = {
     "pipe": (b"row_id|segment|score|comment\n1|a|1.5|x\n2|b||\n3|a|2|y\n4|c|3|z\n", 4, {"row_id": "bigint", "score": "double", "comment": "string"}),
     "latin": ("name,n\nCafé,1\n".encode("latin-1"), 1, {"name": "string", "n": "bigint"}),
     "typed": (b"code,flag,na,gaps,text\n001,True,NA,1,1\n002,FALSE,NA,,null\n\n003,true,NA,3,\"1,000\"\n", 3, {"code": "bigint", "flag": "boolean", "na": "double", "gaps": "double", "text": "string"}),
+    "inch": (b'size,n\n5" wide,1\n"6"" tall",2\n', 2, {"size": "string", "n": "bigint"}),
     "short": (b"a,b,c\n1,2\n3,4,5\n", 2, {"a": "bigint", "c": "double"}),
 }
 
@@ -81,6 +83,30 @@ def test_accepted_files(spark, tmp_path, case):
         assert data.visible.first()["name"] == "Café"
 
 
+def test_bytes_behind_the_head_decide_too(spark, tmp_path):
+    """Latin-1 letters behind two megabytes, and a large file without quoted line breaks in several tasks."""
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"name,n\n" + b"".join(b"plain text %07d,%d\n" % (i, i) for i in range(120_000)) + "Café,7\n".encode("latin-1"))
+    data = load(spark, str(path))
+    assert data.visible.filter("n = 7 AND name LIKE 'Caf%'").collect()[0]["name"] == "Café" and data.visible.count() == 120_001
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        data = load(spark, str(path))
+        assert data.frame.rdd.getNumPartitions() > 2 and [r["n"] for r in data.frame.orderBy("__row_key").limit(3).collect()] == [0, 1, 2]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize(("text", "kind"), [
+    ('a,b\n1,2\n', "line"), ('a,b\n"x, y",5" wide\n', "line"), ('a,b\n"x\ny",2\n', "lines"), ('a,b\n1,"2\n', "open"), ('a\n"he said ""hi"""\n"', "open"),
+    ('a,b\n"x\n"",y",2\n"z",3\n', "lines"), ('a,b\n"x\ny","z\n', "open"), ('a;b\nx "q;2\n', "line"),
+])
+def test_quoting(spark, tmp_path, text, kind):
+    path = tmp_path / "q.csv"
+    path.write_text(text)
+    assert csv_source.quoting(spark, str(path), ";" if ";" in text else ",", "utf-8") == kind
+
+
 REFUSED = {
     "type.txt": (b"a,b\n1,2\n", "unsupported", Limits()), "empty.csv": (b"", "empty", Limits()), "header.csv": (b"a,b\n", "no data rows", Limits()), "binary.csv": (b"a,\0b\n1,2\n", "binary", Limits()),
     "quote.csv": (b'a,b\n1,"2\n', "parsed", Limits()), "blank.csv": (b"name,,age\n1,2,3\n", "non-empty", Limits()), "twice.csv": (b"name,name\n1,2\n", "unique", Limits()), "long.csv": (b"a,b\n1,2,3\n4,5,6\n", "more fields", Limits()),
