@@ -69,7 +69,7 @@ def accept(plain: object, roles: ColumnRoles) -> ChartSuggestion | None:
             return None
         y = "count"
     elif kind == "box":
-        if y not in roles.numeric or x is not None and x not in roles.categorical:
+        if x not in roles.numeric or y is not None and y not in roles.categorical:
             return None
     elif kind in ("time_series", "time_area"):
         if x not in roles.datetime or y is not None and y not in roles.numeric:

@@ -144,7 +144,7 @@ def chart_data(data: Dataset, s: ChartSuggestion) -> DataFrame:
     if s.kind == "pie":
         return pie(df, s.x)
     if s.kind == "box":
-        return box(df, s.y, s.x)
+        return box(df, s.x, s.y)
     if s.kind == "histogram":
         return histogram(df, s.x)
     if s.kind == "time_series":

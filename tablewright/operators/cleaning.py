@@ -17,11 +17,12 @@ from tablewright.functions.exprs import DATE_SHAPE, LEADING_ZERO, PLAIN_NUMBER,
 from tablewright.operators.roles import infer_semantics, name_words
 from tablewright.operators.stats import TableStats
 
-#: Kinds in the order in which a batch applies them.
+# The kinds, in the order in which a batch applies them.
 ORDER = (
     "drop_duplicates", "trim_whitespace", "blank_to_missing", "normalize_categories", "convert_numeric", "convert_datetime", "fill_numeric_median",
     "fill_category_missing", "drop_column", "flag_outliers",
 )
+# Words of names whose digits are no numbers.
 IDENTIFIER_WORDS = {"id", "uuid", "guid", "key", "code", "zip", "postal", "phone"}
 RECIPE_FORMAT, RECIPE_VERSION = "tablewright-cleaning-recipe", 1
 
@@ -153,6 +154,26 @@ def _text_facts(stats: TableStats, names: list[str]) -> dict[str, dict]:
     return {r["column"]: r.asDict() for r in facts.collect()}
 
 
+def _spellings(stats: TableStats, names: list[str]) -> dict[str, list[dict]]:
+    """key, canonical, spelling, changed of the spellings that differ in case alone, by column; one job for all columns of few values."""
+    if not names:
+        return {}
+    s = strip(F.col("value"))
+    rows = stats.values(names).select("column", F.col("value"), F.col("n"), s.alias("spelling"), fold(s).alias("key")).filter("spelling != ''").collect()
+    out: dict[str, list[dict]] = {n: [] for n in names}
+    for name in names:
+        groups: dict[str, dict[str, int]] = {}
+        for r in rows:
+            if r["column"] == name:
+                counts = groups.setdefault(r["key"], {})
+                counts[r["spelling"]] = counts.get(r["spelling"], 0) + r["n"]
+        canonical = {key: min(counts, key=lambda x: (-counts[x], x)) for key, counts in groups.items() if len(counts) > 1}  # noqa: B023
+        for key, spelling in sorted((key, x) for key in canonical for x in groups[key]):
+            changed = sum(r["n"] for r in rows if r["column"] == name and r["spelling"] == spelling and r["value"] != canonical[key])
+            out[name].append({"key": key, "canonical": canonical[key], "spelling": spelling, "changed": changed})
+    return out
+
+
 def missing_label(existing: set[str]) -> str:
     """A label for missing categories that no category has yet."""
     folded = {x.casefold() for x in existing}
@@ -175,6 +196,8 @@ def suggest_actions(data: Dataset, stats: TableStats | None = None) -> tuple[Cle
     roles = {s.column: s.role for s in infer_semantics(data, stats)}
     texts = [n for n, kind in stats.fields.items() if is_text(kind)]
     facts = _text_facts(stats, texts)
+    limit = min(50, max(10, round(0.4 * rows)))
+    spellings = _spellings(stats, [n for n, t in facts.items() if t["folds"] < t["values"] <= limit])
     outlier_bounds = {}
     for c in stats.columns.values():
         name, role = c.name, roles[c.name]
@@ -183,13 +206,11 @@ def suggest_actions(data: Dataset, stats: TableStats | None = None) -> tuple[Cle
                 add("trim_whitespace", name, t["padded"], "high", "Texts with white space at an end.")
             if t["blank"]:
                 add("blank_to_missing", name, t["blank"], "high", "Texts of white space only.")
-            if t["folds"] < t["values"] <= min(50, max(10, round(0.4 * rows))):
-                spellings = category_spellings(frame, name).collect()
-                names = {r["key"]: r["canonical"] for r in spellings}
-                pairs = [F.lit(x) for item in names.items() for x in item]
-                canonical = F.coalesce(F.try_element_at(F.create_map(*pairs), fold(strip(col(name)))), col(name))
-                changed = frame.agg(F.count_if(canonical != col(name))).first()[0]
-                add("normalize_categories", name, changed, "medium", f"{len(spellings)} spellings make {len(names)} categories.", canonical_map=json.dumps(names, ensure_ascii=False, sort_keys=True))
+            if name in spellings:
+                found = spellings[name]
+                names = {r["key"]: r["canonical"] for r in found}
+                changed = sum(r["changed"] for r in found)
+                add("normalize_categories", name, changed, "medium", f"{len(found)} spellings make {len(names)} categories.", canonical_map=json.dumps(names, ensure_ascii=False, sort_keys=True))
             numeric = (
                 t["full"] >= 3 and role != "identifier" and not name_words(name) & IDENTIFIER_WORDS
                 and not (role == "categorical" and t["values"] <= 10) and t["plain"] and not t["zero"]
@@ -212,7 +233,7 @@ def suggest_actions(data: Dataset, stats: TableStats | None = None) -> tuple[Cle
             if numbers and role != "identifier" and numbers["finite"] >= 3:
                 add("fill_numeric_median", name, c.nulls, "medium", "Few values are missing.", value=repr(numbers["fmedian"]))
             elif role == "categorical" and not numbers:
-                existing = {r[0] for r in stats.values().filter(F.col("column") == name).select("value").limit(51).collect()}
+                existing = set(stats.labels(name))
                 add("fill_category_missing", name, c.nulls, "medium", "Few categories are missing.", value=missing_label(existing))
         flag = f"{name}_is_outlier"
         if numbers and is_numeric(c.kind) and role != "identifier" and flag not in stats.fields and numbers["finite"] >= 8 and c.distinct >= 4:

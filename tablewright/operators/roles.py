@@ -120,72 +120,90 @@ def infer_roles(data: Dataset, stats: TableStats | None = None) -> ColumnRoles:
     return roles_from({s.column: s.role for s in infer_semantics(data, stats)})
 
 
+@dataclass(frozen=True)
+class ChartRule:
+    """A kind of chart for everything that ``over`` binds; texts and columns are filled in from the binding.
+
+    ``short`` names the rule that makes up for what is missing, ``none`` the one for when nothing is bound.
+    """
+
+    over: str
+    kind: str
+    confidence: float
+    title: str
+    explanation: str
+    x: str | None
+    y: str | None
+    function: str | None = None
+    dated: bool = False
+    short: str | None = None
+    none: str | None = None
+
+
+# Kinds, columns and confidences of the charts, and how many of which serve a goal.
+CHART_RULES = {
+    "gaps": ChartRule("table", "missingness", 1.0, "Missing values by column", "Share of rows without a value, by column.", "column", "missing_percent"),
+    "counts": ChartRule("category", "category_count", 0.95, "Rows by {category}", "Exact counts; missing values have a group of their own.", "{category}", "count"),
+    "shares": ChartRule("slices", "pie", 0.93, "Share of rows by {category}", "Shares of all rows.", "{category}", "count", short="counts"),
+    "spread": ChartRule("measure", "box", 0.88, "Spread of {measure}{split}", "Quartiles and extremes.", "{measure}", "{group}"),
+    "running": ChartRule("dated", "time_area", 0.86, "Running total of {measure}", "Sum so far at each period.", "{date}", "{measure}", "sum", True, none="running_rows"),
+    "running_rows": ChartRule("date", "time_area", 0.86, "Running total of rows", "Sum so far at each period.", "{date}", None, "count", True),
+    "histogram": ChartRule("measure", "histogram", 0.92, "Distribution of {measure}", "Rows by range of values.", "{measure}", "count"),
+    "trend": ChartRule("dated", "time_series", 0.88, "{function} of {measure} over time", "One value per period.", "{date}", "{measure}", "chosen", True, none="trend_rows"),
+    "trend_rows": ChartRule("date", "time_series", 0.92, "Rows over time", "Rows per period.", "{date}", None, "count", True),
+    "compare": ChartRule("grouped", "category_aggregate", 0.9, "{function} of {measure} by {group}", "One value per category.", "{group}", "{measure}", "chosen"),
+    "pairs": ChartRule("pair", "scatter", 0.85, "{measure} against {other}", "One point per complete row.", "{measure}", "{other}"),
+}
+GOAL_RULES = {
+    "Overview": {"gaps": 1, "shares": 1, "trend": 1, "spread": 1},
+    "Trends": {"trend": 2, "running": 1},
+    "Compare": {"compare": 2, "shares": 1, "counts": 1},
+    "Distributions": {"histogram": 2, "spread": 2},
+    "Relationships": {"pairs": 2, "spread": 1, "compare": 1},
+    "Data quality": {"gaps": 1, "counts": 2},
+}
+#: What fills an overview of fewer than four charts.
+SPARE_RULES = ("compare", "histogram", "pairs")
+
+
+def _bindings(stats: TableStats, roles: ColumnRoles) -> dict[str, list[dict[str, str]]]:
+    """The columns that each kind of rule can be filled in with."""
+    group = {"group": roles.categorical[0], "split": f" by {roles.categorical[0]}"} if roles.categorical else {"split": ""}
+    measures = [{"measure": c, **group} for c in roles.numeric]
+    dates = [{"date": c} for c in roles.datetime[:1]]
+    return {
+        "table": [{}] if any(c.missing for c in stats.columns.values()) else [],
+        "category": [{"category": c} for c in roles.categorical],
+        "slices": [{"category": c} for c in roles.categorical if 2 <= stats.columns[c].distinct_or_null <= PIE_SLICES + 1],
+        "measure": measures, "grouped": measures if roles.categorical else [], "date": dates, "dated": [d | m for d in dates for m in measures],
+        "pair": [{"measure": a, "other": b} for a, b in zip(roles.numeric, roles.numeric[1:], strict=False)],
+    }
+
+
 def suggest_charts(
     stats: TableStats, roles: ColumnRoles, goal: str = "Overview", *, most: int = 4, aggregation: str = "mean", grain: str = "month"
 ) -> tuple[ChartSuggestion, ...]:
-    """At most ``most`` charts for a goal, from generators tried in the goal's order."""
+    """At most ``most`` charts for a goal, by its rules in their order; an unknown goal is an overview."""
     if not stats.rows or most <= 0:
         return ()
-    numbers, classes, dates = roles.numeric, roles.categorical, roles.datetime
-
-    def missingness(_: int = 1):
-        if any(c.missing for c in stats.columns.values()):
-            yield ChartSuggestion("missingness", "Missing values by column", "Share of rows without a value, by column.", "column", "missing_percent", confidence=1.0)
-
-    def counts(n: int):
-        for c in classes[:n]:
-            yield ChartSuggestion("category_count", f"Rows by {c}", "Exact counts; missing values have a group of their own.", c, "count", confidence=0.95)
-
-    def shares(n: int):
-        fit = [c for c in classes if 2 <= stats.columns[c].distinct_or_null <= PIE_SLICES + 1][:n]
-        for c in fit:
-            yield ChartSuggestion("pie", f"Share of rows by {c}", "Shares of all rows.", c, "count", confidence=0.93)
-        if len(fit) < n:
-            yield from counts(n - len(fit))
-
-    def spread(n: int):
-        for c in numbers[:n]:
-            by = classes[0] if classes else None
-            yield ChartSuggestion("box", f"Spread of {c}" + (f" by {by}" if by else ""), "Quartiles and extremes.", by, c, confidence=0.88)
-
-    def cumulative(n: int):
-        if dates:
-            for c in numbers[:n] or (None,):
-                yield ChartSuggestion("time_area", f"Running total of {c or 'rows'}", "Sum so far at each period.", dates[0], c, "sum" if c else "count", grain, 0.86)
-
-    def distributions(n: int):
-        for c in numbers[:n]:
-            yield ChartSuggestion("histogram", f"Distribution of {c}", "Rows by range of values.", c, "count", confidence=0.92)
-
-    def trends(n: int):
-        if dates and numbers:
-            for c in numbers[:n]:
-                yield ChartSuggestion("time_series", f"{aggregation} of {c} over time", "One value per period.", dates[0], c, aggregation, grain, 0.88)
-        elif dates:
-            yield ChartSuggestion("time_series", "Rows over time", "Rows per period.", dates[0], None, "count", grain, 0.92)
-
-    def by_category(n: int):
-        if classes:
-            for c in numbers[:n]:
-                yield ChartSuggestion("category_aggregate", f"{aggregation} of {c} by {classes[0]}", "One value per category.", classes[0], c, aggregation, None, 0.9)
-
-    def pairs(n: int):
-        for a, b in list(zip(numbers, numbers[1:], strict=False))[:n]:
-            yield ChartSuggestion("scatter", f"{a} against {b}", "One point per complete row.", a, b, confidence=0.85)
-
-    plans = {
-        "Trends": ((trends, 2), (cumulative, 1)),
-        "Compare": ((by_category, 2), (shares, 1), (counts, 1)),
-        "Distributions": ((distributions, 2), (spread, 2)),
-        "Relationships": ((pairs, 2), (spread, 1), (by_category, 1)),
-        "Data quality": ((missingness, 1), (counts, 2)),
-    }
-    overview = ((missingness, 1), (shares, 1), (trends, 1), (spread, 1))
-    out: list[ChartSuggestion] = []
-    for make, n in plans.get(goal, overview):
-        out += make(n)
-    if goal not in plans:
-        for make in (by_category, distributions, pairs):
-            if len(out) < 4:
-                out += [s for s in make(1) if s not in out]
+    bound = _bindings(stats, roles)
+
+    def made(name: str, n: int) -> list[ChartSuggestion]:
+        rule = CHART_RULES[name]
+        out = []
+        for own in bound[rule.over][:n]:
+            function = aggregation if rule.function == "chosen" else rule.function
+            fill = lambda text: text and (text.format(function=function, **own) if not (text == "{group}" and "group" not in own) else None)  # noqa: B023, E731
+            out.append(ChartSuggestion(rule.kind, fill(rule.title), rule.explanation, fill(rule.x), fill(rule.y), function, grain if rule.dated else None, rule.confidence))
+        if rule.short and len(out) < n:
+            out += made(rule.short, n - len(out))
+        if rule.none and not out:
+            out += made(rule.none, n)
+        return out
+
+    wanted = GOAL_RULES.get(goal, GOAL_RULES["Overview"])
+    out = [chart for name, n in wanted.items() for chart in made(name, n)]
+    for name in SPARE_RULES if wanted is GOAL_RULES["Overview"] else ():
+        if len(out) < 4:
+            out += [chart for chart in made(name, 1) if chart not in out]
     return tuple(out[:most])

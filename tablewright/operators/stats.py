@@ -6,12 +6,14 @@ plain and numeric aggregates, one looks at the first texts for dates. None of th
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from tablewright.dataset import ROW_KEY, Dataset
 from tablewright.functions.exprs import DATE_START, col, finite, is_blank, is_numeric, is_text, missing, strip, to_timestamp
@@ -108,6 +110,18 @@ class TableStats:
                 examples[r["column"]].append(r["value"])
         return {n: (counts.get(n, 0), [x[:60] for x in examples[n]]) for n in self.fields}
 
+    def labels(self, name: str, most: int = 51) -> list[str]:
+        """Distinct non-null values of one column as text, at most so many."""
+        return [r[0] for r in self.data.frame.select(col(name).cast("string")).filter(col(name).isNotNull()).distinct().limit(most).collect()]
+
+    def gather(self) -> TableStats:
+        """Takes all statistics now, jobs that don't need one another side by side."""
+        kinds = {n: lambda n=n: getattr(self, n) for n in ("plain", "head", "distinct", "duplicates")}
+        with ThreadPoolExecutor(len(kinds)) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.data.frame.sparkSession)(take)) for take in kinds.values()]:
+                done.result()
+        return self
+
     @cached_property
     def numbers(self) -> dict[str, dict]:
         """count, mean, std, min, q1, median, q3, max, years, unit, finite statistics by number column."""

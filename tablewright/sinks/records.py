@@ -16,6 +16,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,18 +159,19 @@ def hook_body(batch: list[dict], name: str, index: int, count: int) -> dict:
     return {"source": "tablewright", "pipeline": name, "batch_index": index, "batch_count": count, "records": batch}
 
 
-def preview(items: list[dict], config: ExportConfig) -> dict:
-    """Exactly the body of the first request."""
+def preview(items: Iterable[dict], config: ExportConfig, total: int | None = None) -> dict:
+    """Exactly the body of the first request. ``total`` is the number of items where these have no length."""
+    total = len(items) if total is None else total
     if isinstance(config.destination, TableService):
-        return service_body(items[:TABLE_BATCH], config.destination)
+        return service_body(list(islice(items, TABLE_BATCH)), config.destination)
     size = config.destination.batch_size
-    return hook_body(items[:size], config.name, 1, -(-len(items) // size))
+    return hook_body(list(islice(items, size)), config.name, 1, -(-total // size))
 
 
-def push_service(items: list[dict], destination: TableService, token: str, *, api_url: str, send: Send = http, sleep=time.sleep, progress=None) -> Report:
+def push_service(items: Iterable[dict], destination: TableService, token: str, *, api_url: str, total: int | None = None, send: Send = http, sleep=time.sleep, progress=None) -> Report:
     """Appends records in batches of ten. A refused token or unknown table ends the run; other failures are noted."""
     check_service(destination, token)
-    report = Report(total=len(items))
+    report = Report(total=len(items) if total is None else total)
     url = f"{api_url.rstrip('/')}/{destination.base_id}/{urllib.parse.quote(destination.table, safe='')}"
     headers = {"Authorization": f"Bearer {token}"}
     for i, batch in enumerate(batches(items, TABLE_BATCH), 1):
@@ -208,11 +210,11 @@ def check_connection(destination: TableService, token: str, *, api_url: str, sen
         raise ExportError(STATUS.get(status, f"status {status}"))
 
 
-def push_webhook(items: list[dict], destination: Webhook, *, secret: str | None = None, name: str = "export", send: Send = http, sleep=time.sleep, progress=None) -> Report:
+def push_webhook(items: Iterable[dict], destination: Webhook, *, secret: str | None = None, name: str = "export", total: int | None = None, send: Send = http, sleep=time.sleep, progress=None) -> Report:
     """Posts batches. A server that can't be reached at the first one ends the run; later failures are noted."""
     check_webhook(destination, secret)
-    report = Report(total=len(items))
-    count = -(-len(items) // destination.batch_size)
+    report = Report(total=len(items) if total is None else total)
+    count = -(-report.total // destination.batch_size)
     headers = {destination.secret_header: secret} if destination.secret_header else {}
     for i, batch in enumerate(batches(items, destination.batch_size), 1):
         if i > 1:
@@ -268,12 +270,13 @@ def config_from_json(text: str) -> ExportConfig:
 
 def run_export(data: Dataset, config: ExportConfig, *, secret: str | None = None, api_url: str = "", dry_run: bool = False, send: Send = http, sleep=time.sleep) -> Report | dict:
     """Records of the dataset to the destination; a dry run gives the first body instead."""
-    items = list(records(data, config.row_limit))
+    items = records(data, config.row_limit)
+    total = data.frame.limit(config.row_limit).count()
     if dry_run:
-        return preview(items, config)
+        return preview(items, config, total)
     if isinstance(config.destination, TableService):
-        return push_service(items, config.destination, secret or "", api_url=api_url, send=send, sleep=sleep)
-    return push_webhook(items, config.destination, secret=secret, name=config.name, send=send, sleep=sleep)
+        return push_service(items, config.destination, secret or "", api_url=api_url, total=total, send=send, sleep=sleep)
+    return push_webhook(items, config.destination, secret=secret, name=config.name, total=total, send=send, sleep=sleep)
 
 
 def main(arguments: list[str] | None = None) -> int:

@@ -177,6 +177,36 @@ def test_clean_query(table):
     assert "TakeOrderedAndProject" in {s.node for s in out.steps}
 
 
+def test_review_texts(spark, table):
+    sql = "WITH t AS (SELECT segment, revenue FROM uploaded_data WHERE segment IN (SELECT segment FROM uploaded_data)) SELECT segment, SUM(revenue) AS total FROM t WHERE revenue > 1 GROUP BY segment HAVING SUM(revenue) > 2 ORDER BY total DESC LIMIT 7"
+    said = dict(sqlguard.explain_clauses(sqlguard.parse(spark, sql)))
+    assert list(said) == ["WITH", "SELECT", "FROM", "WHERE", "GROUP BY", "HAVING", "ORDER BY", "LIMIT"]
+    for clause, part in {"WITH": "t", "SELECT": "segment, total", "FROM": "uploaded_data", "WHERE": "revenue", "GROUP BY": "segment", "HAVING": "2", "ORDER BY": "total descending", "LIMIT": "7"}.items():
+        assert part in said[clause], (clause, said[clause])
+    pretty = sqlguard.format_sql(sql)
+    assert "\n  FROM uploaded_data" in pretty and "\n    SELECT segment" in pretty and sqlguard.format_sql(pretty) == pretty
+    assert sqlguard.format_sql("select 'a\n   b' as x from uploaded_data") == "SELECT 'a\n   b' as x\nFROM uploaded_data;"
+    for name, text in RULES.items():
+        for f in sqlguard.lint(table, sqlguard.parse(spark, text)):
+            assert f.category in ("Readability", "Performance", "Correctness", "Maintainability") and f.detail and f.recommendation and "{" not in f.detail, name
+
+
+@pytest.mark.parametrize(("sql", "suggested"), [
+    ("SELECT * FROM uploaded_data", "SELECT `customer_id`, `segment`, `revenue`\nFROM uploaded_data;"),
+    ("SELECT u.*, revenue * 2 AS d FROM uploaded_data u", "SELECT u.`customer_id`, u.`segment`, u.`revenue`, revenue * 2 AS d\nFROM uploaded_data u;"),
+    ("SELECT 1 AS one, * FROM uploaded_data LIMIT 2", "SELECT 1 AS one, `customer_id`, `segment`, `revenue`\nFROM uploaded_data\nLIMIT 2;"),
+    ("SELECT a.* FROM uploaded_data a JOIN uploaded_data b ON a.customer_id = b.customer_id", "SELECT a.*\nFROM uploaded_data a\nJOIN uploaded_data b ON a.customer_id = b.customer_id;"),
+    ("SELECT count(*) AS n FROM uploaded_data", "SELECT count(*) AS n\nFROM uploaded_data;"),
+])
+def test_stars_are_written_out(table, sql, suggested):
+    assert sqlguard.analyze(table, sql).suggested == suggested
+
+
+def test_syntax_errors_have_a_place(table):
+    with pytest.raises(sqlguard.SqlError, match=r"line 2, column \d+"):
+        sqlguard.analyze(table, "SELECT segment,\n ( FROM uploaded_data")
+
+
 def test_empty_result_is_seen(table):
     assert "LocalTableScan" in {s.node for s in sqlguard.analyze(table, "SELECT segment FROM uploaded_data WHERE segment = NULL").steps}
 
