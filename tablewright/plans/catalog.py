@@ -220,7 +220,27 @@ def sem_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, name string, role string, display_format string")
 
 
-register("sem_roles", sem_roles)
+def rows_sql(names: str, *rows: str) -> str:
+    """SQL for rows that are known beforehand; each is written as its fields between commas."""
+    return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) AS t({names})"
+
+
+def role_rows() -> list[str]:
+    """What the rules give each column: those with "_id" are identifiers, dates are dates, few texts categories, prices money, shares of one percentages."""
+    known = {
+        "customer": "c_custkey numeric Number, c_name text Text, c_nationkey numeric Number, c_acctbal numeric Number, c_mktsegment categorical Category",
+        "orders": "o_orderkey numeric Number, o_custkey numeric Number, o_orderstatus categorical Category, o_totalprice numeric Currency, o_orderdate datetime Date/time, o_orderpriority categorical Category",
+        "part": "p_partkey numeric Number, p_name text Text, p_brand categorical Category, p_type categorical Category, p_size numeric Number, p_retailprice numeric Currency",
+        "lineitem": "l_orderkey numeric Number, l_partkey numeric Number, l_suppkey numeric Number, l_linenumber numeric Number, l_quantity numeric Number, l_extendedprice numeric Currency,"
+                    " l_discount numeric Percentage, l_tax numeric Percentage, l_returnflag categorical Category, l_linestatus categorical Category, l_shipdate datetime Date/time",
+        "events": "event_id identifier ID, ts datetime Date/time, user_id identifier ID, event_type categorical Category, value numeric Number, props text Text",
+        "supplier": "s_suppkey numeric Number, s_name text Text, s_nationkey numeric Number, s_acctbal numeric Number",
+        "nation": "n_nationkey numeric Number, n_name text Text, n_regionkey numeric Number",
+    }
+    return [", ".join(f"'{x}'" for x in (source, *field.split())) for source, fields in known.items() for field in fields.split(",")]
+
+
+register("sem_roles", sem_roles, rows_sql("source, name, role, display_format", *role_rows()))
 
 
 def rec_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +251,17 @@ def rec_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "goal string, place int, kind string, x string, y string")
 
 
-register("rec_charts", rec_charts)
+REC_CHARTS = {
+    "Overview": "missingness column missing_percent, pie o_orderstatus count, time_series o_orderdate o_orderkey, box o_orderkey o_orderstatus",
+    "Trends": "time_series o_orderdate o_orderkey, time_series o_orderdate o_custkey, time_area o_orderdate o_orderkey",
+    "Compare": "category_aggregate o_orderstatus o_orderkey, category_aggregate o_orderstatus o_custkey, pie o_orderstatus count, category_count o_orderstatus count",
+    "Distributions": "histogram o_orderkey count, histogram o_custkey count, box o_orderkey o_orderstatus, box o_custkey o_orderstatus",
+    "Relationships": "scatter o_orderkey o_custkey, scatter o_custkey o_totalprice, box o_orderkey o_orderstatus, category_aggregate o_orderstatus o_orderkey",
+    "Data quality": "missingness column missing_percent, category_count o_orderstatus count, category_count o_orderpriority count",
+}
+register("rec_charts", rec_charts, rows_sql("goal, place, kind, x, y", *(
+    f"'{goal}', {i}, " + ", ".join(f"'{x}'" for x in chart.split()) for goal, charts_ in REC_CHARTS.items() for i, chart in enumerate(charts_.split(","))
+)))
 
 
 # ---- Cleaning --------------------------------------------------------------------------------------------------------
@@ -320,7 +350,17 @@ def det_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, kind string, name string, affected_rows long")
 
 
-register("det_actions", det_actions)
+register("det_actions", det_actions, f"""
+    SELECT 'orders' AS source, 'trim_whitespace' AS kind, 'o_orderstatus' AS name, COUNT(*) FILTER (o_orderstatus <> trim(o_orderstatus)) AS affected_rows FROM {ORDERS}
+    UNION ALL SELECT 'orders', 'trim_whitespace', 'o_orderpriority', COUNT(*) FILTER (o_orderpriority <> trim(o_orderpriority)) FROM {ORDERS}
+    UNION ALL SELECT 'orders', 'blank_to_missing', 'o_orderpriority', COUNT(*) FILTER (trim(o_orderpriority) = '') FROM {ORDERS}
+    UNION ALL SELECT 'orders', 'fill_category_missing', 'o_orderpriority', COUNT(*) FILTER (o_orderpriority IS NULL) FROM {ORDERS}
+    UNION ALL SELECT 'spellings', 'trim_whitespace', 'segment', COUNT(*) FILTER (segment <> trim(segment)) FROM {SPELLINGS}
+    UNION ALL SELECT 'spellings', 'normalize_categories', 'segment', COUNT(*) FILTER (segment <> upper(trim(segment))) FROM {SPELLINGS}
+    UNION ALL SELECT 'numbers', 'trim_whitespace', 'price', COUNT(*) FILTER (price <> trim(price)) FROM {NUMBER_TEXTS}
+    UNION ALL SELECT 'numbers', 'blank_to_missing', 'price', COUNT(*) FILTER (trim(price) = '') FROM {NUMBER_TEXTS}
+    UNION ALL SELECT 'numbers', 'convert_numeric', 'whole', COUNT(*) FILTER (trim(whole) <> '') FROM {NUMBER_TEXTS}
+    UNION ALL SELECT 'doubled', 'drop_duplicates', NULL, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {DOUBLED})) FROM {DOUBLED}""")
 
 
 # ---- Guided charts ---------------------------------------------------------------------------------------------------
@@ -365,6 +405,9 @@ def cht_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("cht_scatter", cht_scatter)
+# Of up to 5,000 complete rows all are points; the sample of more can't be said in SQL.
+register("cht_scatter_all", lambda s, d: charts.scatter(from_frame(read_table(s, d, "customer").withColumn("c_acctbal", F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal"))).filter("c_custkey <= 4000")).frame, "c_custkey", "c_acctbal"),
+         "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_acctbal FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey <= 4000")
 
 
 # ---- Cards and filters -----------------------------------------------------------------------------------------------
@@ -408,12 +451,17 @@ def crd_default_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c.card_id, c.kind, c.metric, c.column, c.x, c.y) for c in config.cards], "card_id string, kind string, metric string, source string, x string, y string")
 
 
-register("crd_default_dashboard", crd_default_dashboard)
+register("crd_default_dashboard", crd_default_dashboard, rows_sql(
+    "card_id, kind, metric, source, x, y", "'rows', 'kpi', 'row_count', NULL, NULL, NULL", "'mean', 'kpi', 'mean', 'o_orderkey', NULL, NULL",
+    "'share', 'pie', 'row_count', NULL, 'o_orderstatus', NULL", "'trend', 'line', 'mean', 'o_orderkey', 'o_orderdate', NULL",
+))
 
 
 # ---- Export, review and guarded SQL ----------------------------------------------------------------------------------
 
-register("export_records", lambda s, d: json_records(read_table(s, d, "events")))
+register("export_records", lambda s, d: json_records(read_table(s, d, "events")), r"""
+    SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 <> 0 THEN '.' || strftime(ts, '%f') ELSE '' END || '","user_id":' || user_id ||
+      ',"event_type":"' || event_type || '","value":' || CAST(value AS VARCHAR) || ',"props":"' || replace(replace(props, '\', '\\'), '"', '\"') || '"}' AS record FROM events""")
 
 LINTED = (
     ("plain", "SELECT o_orderstatus, COUNT(*) AS n FROM uploaded_data GROUP BY o_orderstatus ORDER BY n DESC LIMIT 10"), ("star", "SELECT * FROM uploaded_data"),
@@ -430,16 +478,52 @@ def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "sql_id string, rule string, severity string")
 
 
-register("lint_findings", lint_findings)
+BY_SIZE = "CASE WHEN (SELECT COUNT(*) FROM orders) > 10000 THEN 'medium' ELSE 'low' END"
+register("lint_findings", lint_findings, rows_sql(
+    "sql_id, rule, severity", f"'star', 'unbounded-detail', {BY_SIZE}", "'star', 'explicit-columns', 'low'", "'null', 'null-comparison', 'high'", "'like', 'leading-wildcard', 'medium'",
+    "'cross', 'cross-join', 'high'", "'cross', 'repeated-upload-scan', 'medium'", f"'distinct', 'distinct-cost', {BY_SIZE}", "'distinct', 'unbounded-sort', 'medium'", "'distinct', 'ordinal-order', 'low'",
+    "'group', 'high-cardinality-group-o_orderkey', 'medium'", "'not_in', 'not-in-subquery', 'high'", "'function', 'function-on-filter-column', 'medium'", "'union', 'union-deduplication', 'low'",
+))
 
 
 def coach_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_table(spark, sf_dir, "orders")
     made = [(name, sqlguard.analyze(df, sql)) for name, sql in LINTED]
-    return spark.createDataFrame([(n, a.score, a.formatted, a.suggested, ", ".join(s.node for s in a.steps)) for n, a in made], "sql_id string, score int, formatted string, suggested string, steps string")
+    return spark.createDataFrame([(n, a.score, a.formatted, ", ".join(c for c, _ in a.clauses)) for n, a in made], "sql_id string, score int, formatted string, clauses string")
+
+
+def coach_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planned operators of each query, which depend on the engine's settings."""
+    df = read_table(spark, sf_dir, "orders")
+    made = [(name, sqlguard.analyze(df, sql)) for name, sql in LINTED]
+    return spark.createDataFrame([(n, i, s.node, s.meaning) for n, a in made for i, s in enumerate(a.steps)], "sql_id string, place int, node string, meaning string")
+
+
+def _penalty(least: int, by_size: bool) -> str:
+    """A score: 100 less 25, 12 or 5 for each finding; one of them depends on the size of the table."""
+    return f"100 - {least}" + (" - CASE WHEN (SELECT COUNT(*) FROM orders) > 10000 THEN 12 ELSE 5 END" if by_size else "")
+
+
+#: By query: what is taken off, whether the size matters, the clauses, and where lines break.
+REVIEWED = {
+    "plain": (0, False, "SELECT, FROM, GROUP BY, ORDER BY, LIMIT", " FROM| GROUP BY| ORDER BY| LIMIT"), "star": (5, True, "SELECT, FROM", " FROM"), "null": (25, False, "SELECT, FROM, WHERE, LIMIT", " FROM| WHERE| LIMIT"),
+    "like": (12, False, "SELECT, FROM, WHERE, LIMIT", " FROM| WHERE| LIMIT"), "cross": (37, False, "SELECT, FROM, JOIN, LIMIT", " FROM| CROSS JOIN| LIMIT"), "distinct": (17, True, "SELECT, FROM, ORDER BY", " FROM| ORDER BY"),
+    "group": (12, False, "SELECT, FROM, GROUP BY, LIMIT", " FROM| GROUP BY| LIMIT"), "function": (12, False, "SELECT, FROM, WHERE, LIMIT", " FROM| WHERE| LIMIT"),
+}
+
+
+def review_sql() -> str:
+    texts = dict(LINTED)
+    texts |= {name: re.sub(f"({breaks})", lambda m: "\n" + m[0][1:], texts[name]) for name, (_, _, _, breaks) in REVIEWED.items()}
+    texts["not_in"] = "SELECT o_orderkey\nFROM uploaded_data\nWHERE o_custkey NOT IN (\n  SELECT o_custkey\n  FROM uploaded_data\n)\nLIMIT 5"
+    texts["union"] = "SELECT o_orderkey\nFROM uploaded_data\nUNION\nSELECT o_custkey\nFROM uploaded_data"
+    rest = {name: (least, size, clauses) for name, (least, size, clauses, _) in REVIEWED.items()} | {"not_in": (25, False, "SELECT, FROM, WHERE, LIMIT"), "union": (5, False, "FROM, UNION")}
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    return rows_sql("sql_id, score, formatted, clauses", *(f"'{n}', {_penalty(least, size)}, {quoted(texts[n] + ';')}, '{clauses}'" for n, (least, size, clauses) in rest.items()))
 
 
-register("coach_review", coach_review)
+register("coach_review", coach_review, review_sql())
+register("coach_steps", coach_steps)
 
 GUARDED = {
     "sql_self_join": ("orders", "SELECT a.o_orderstatus, COUNT(*) AS n FROM {t} a JOIN {t} b ON a.o_orderkey = b.o_custkey GROUP BY a.o_orderstatus"),
