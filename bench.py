@@ -36,12 +36,11 @@ def synthetic(spark, rows: int = 100_000):
 def end_to_end(spark) -> int:
     """Profile, cleaning suggestions, starter dashboard and its cards, as the reference times them."""
     data = from_frame(synthetic(spark).persist())
-    stats = TableStats(data)
+    stats = TableStats(data).gather("texts")
     profile.profile(data, stats)
     found = cleaning.suggest_actions(data, stats)
     config = cards.default_config(data, roles.infer_roles(data, stats))
-    for card in config.cards:
-        cards.build_card(data.frame, card).audit.collect()
+    cards.build_all(data.frame, config.cards, lambda result: result.audit.collect())
     data.frame.unpersist()
     return len(found)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.dataset import ROW_KEY, Dataset
-from tablewright.functions.exprs import DATE_SHAPE, LEADING_ZERO, PLAIN_NUMBER, col, fold, is_blank, is_numeric, is_text, strip, to_number, to_timestamp
+from tablewright.functions.exprs import col, fold, is_blank, is_numeric, is_text, strip, to_number, to_timestamp
 from tablewright.operators.roles import infer_semantics, name_words
 from tablewright.operators.stats import TableStats
 
@@ -137,23 +137,6 @@ def category_spellings(df: DataFrame, name: str) -> DataFrame:
     return keyed.withColumn("variants", F.count(F.lit(1)).over(own)).withColumn("canonical", best).filter("variants > 1")
 
 
-def _text_facts(stats: TableStats, names: list[str]) -> dict[str, dict]:
-    """Counts and tests of all text columns in one job; patterns are tried once per distinct value, counts weigh them."""
-    if not names:
-        return {}
-    c, n = F.col("value"), F.col("n")
-    known = stats.values(names).withColumn("s", strip(c)).withColumn("full", F.col("s") != "")
-    s, full = F.col("s"), F.col("full")
-    times = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
-    every = lambda test: F.coalesce(F.bool_and(F.when(full, test)), F.lit(False))
-    facts = known.groupBy("column").agg(
-        times(c != s).alias("padded"), times(~full).alias("blank"), times(full).alias("full"), F.count_distinct(F.when(full, s)).alias("values"),
-        F.count_distinct(F.when(full, fold(s))).alias("folds"), every(s.rlike(PLAIN_NUMBER)).alias("plain"), F.coalesce(F.bool_or(full & s.rlike(LEADING_ZERO)), F.lit(False)).alias("zero"),
-        (times(full & s.rlike(DATE_SHAPE)) / F.nullif(times(full), F.lit(0))).alias("shape"), every(to_timestamp(c, T.StringType()).isNotNull()).alias("dates"),
-    )
-    return {r["column"]: r.asDict() for r in facts.collect()}
-
-
 def _spellings(stats: TableStats, names: list[str]) -> dict[str, list[dict]]:
     """key, canonical, spelling, changed of the spellings that differ in case alone, by column; one job for all columns of few values."""
     if not names:
@@ -194,8 +177,7 @@ def suggest_actions(data: Dataset, stats: TableStats | None = None) -> tuple[Cle
     if stats.duplicates:
         add("drop_duplicates", None, stats.duplicates, "high", "Rows that repeat an earlier row in every column.")
     roles = {s.column: s.role for s in infer_semantics(data, stats)}
-    texts = [n for n, kind in stats.fields.items() if is_text(kind)]
-    facts = _text_facts(stats, texts)
+    facts = stats.texts
     limit = min(50, max(10, round(0.4 * rows)))
     spellings = _spellings(stats, [n for n, t in facts.items() if t["folds"] < t["values"] <= limit])
     outlier_bounds = {}

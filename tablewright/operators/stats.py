@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
 from tablewright.dataset import ROW_KEY, Dataset
-from tablewright.functions.exprs import DATE_START, col, finite, is_blank, is_numeric, is_text, missing, strip, to_timestamp
+from tablewright.functions.exprs import DATE_SHAPE, DATE_START, LEADING_ZERO, PLAIN_NUMBER, col, finite, fold, is_blank, is_numeric, is_text, missing, strip, to_timestamp
 
 #: Texts per column that are looked at for dates.
 SAMPLE = 100
@@ -100,7 +100,10 @@ class TableStats:
     @cached_property
     def distinct(self) -> dict[str, tuple[int, list[str]]]:
         """Distinct non-null values (blank ones too), and the first three that are not blank, by column."""
-        counts = {r["column"]: r["d"] for r in self.values().groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+        pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), col(n).cast("string").alias("value")) for i, n in enumerate(self.fields)))).alias("p")
+        plain = self.data.frame.select(pairs).select("p.i", "p.value").filter(F.col("value").isNotNull()).distinct()
+        names = list(self.fields)
+        counts = {names[r["i"]]: r["d"] for r in plain.groupBy("i").agg(F.count(F.lit(1)).alias("d")).collect()}
         examples = {n: [x for x in dict.fromkeys(values) if x.strip()][:3] for n, values in self.head.items()}
         if late := [n for n in self.fields if len(examples[n]) < min(3, counts.get(n, 0))]:  # seen first behind the head
             order = Window.partitionBy("column").orderBy("first")
@@ -114,11 +117,14 @@ class TableStats:
         """Distinct non-null values of one column as text, at most so many."""
         return [r[0] for r in self.data.frame.select(col(name).cast("string")).filter(col(name).isNotNull()).distinct().limit(most).collect()]
 
-    def gather(self) -> TableStats:
-        """Takes all statistics now, jobs that don't need one another side by side."""
-        kinds = {n: lambda n=n: getattr(self, n) for n in ("plain", "head", "distinct", "duplicates")}
+    def gather(self, *more: str) -> TableStats:
+        """Takes the statistics of all columns, and ``more`` by name, with the jobs that don't need one another side by side."""
+        kinds = [n for n in ("plain", "head", "distinct", "duplicates", *more) if n not in self.__dict__]
+        if not kinds:
+            return self
         with ThreadPoolExecutor(len(kinds)) as pool:
-            for done in [pool.submit(inheritable_thread_target(self.data.frame.sparkSession)(take)) for take in kinds.values()]:
+            work = inheritable_thread_target(self.data.frame.sparkSession)
+            for done in [pool.submit(work(lambda n=n: getattr(self, n))) for n in kinds]:
                 done.result()
         return self
 
@@ -156,6 +162,24 @@ class TableStats:
         shaped = strip(F.col("value")).rlike(DATE_START).cast("double")
         return {r["column"]: (r["parsed"], r["shaped"]) for r in first.groupBy("column").agg(F.avg(parsed).alias("parsed"), F.avg(shaped).alias("shaped")).collect()}
 
+    @cached_property
+    def texts(self) -> dict[str, dict]:
+        """Counts and tests of all text columns in one job; patterns are tried once per distinct value, counts weigh them."""
+        names = [n for n, kind in self.fields.items() if is_text(kind)]
+        if not names:
+            return {}
+        c, n = F.col("value"), F.col("n")
+        known = self.values(names).withColumn("s", strip(c)).withColumn("full", F.col("s") != "")
+        s, full = F.col("s"), F.col("full")
+        times = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+        every = lambda test: F.coalesce(F.bool_and(F.when(full, test)), F.lit(False))
+        facts = known.groupBy("column").agg(
+            times(c != s).alias("padded"), times(~full).alias("blank"), times(full).alias("full"), F.count_distinct(F.when(full, s)).alias("values"),
+            F.count_distinct(F.when(full, fold(s))).alias("folds"), every(s.rlike(PLAIN_NUMBER)).alias("plain"), F.coalesce(F.bool_or(full & s.rlike(LEADING_ZERO)), F.lit(False)).alias("zero"),
+            (times(full & s.rlike(DATE_SHAPE)) / F.nullif(times(full), F.lit(0))).alias("shape"), every(to_timestamp(c, T.StringType()).isNotNull()).alias("dates"),
+        )
+        return {r["column"]: r.asDict() for r in facts.collect()}
+
     @cached_property
     def duplicates(self) -> int:
         """Rows equal to an earlier one in all columns."""
@@ -163,6 +187,7 @@ class TableStats:
 
     @cached_property
     def columns(self) -> dict[str, ColumnStats]:
+        self.gather()
         out = {}
         for i, (name, kind) in enumerate(self.fields.items()):
             distinct, examples = self.distinct[name]

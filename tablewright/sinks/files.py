@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import json
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.dataset import ROW_KEY, Dataset
 from tablewright.operators import cards
@@ -44,16 +45,86 @@ def _table(df: DataFrame) -> str:
     return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>{note}"
 
 
-def _bars(spec: dict) -> str:
-    """A plain picture of the audit rows, for marks that have one value per row."""
-    values = [(str(r[spec["x"]]), r[spec["y"]]) for r in spec["values"] if isinstance(r.get(spec["y"]), (int, float))][:50]
-    if spec["mark"] not in ("bar", "arc", "line", "area") or not values:
-        return ""
-    most = max(abs(v) for _, v in values) or 1
+WIDE, HIGH, LEFT = 640, 240, 60
+
+
+def _svg(body: str, high: float = HIGH) -> str:
+    return f'<svg width="{WIDE}" height="{high:.0f}" font-size="12">{body}</svg>'
+
+
+def _scale(values: list[float], low: float, high: float):
+    """From the values' range to a range of pixels; a single value stands in the middle."""
+    least, most = min(values), max(values)
+    return lambda v: (low + high) / 2 if most == least else low + (high - low) * (v - least) / (most - least)
+
+
+def _bars(points: list[tuple[str, float]]) -> str:
+    most = max(abs(v) for _, v in points) or 1
     rows = "".join(
-        f'<text x="0" y="{18 * i + 13}">{html.escape(k[:30])}</text><rect x="220" y="{18 * i + 2}" width="{400 * abs(v) / most:.1f}" height="14" fill="#3b6ea5"/>' for i, (k, v) in enumerate(values)
+        f'<text x="0" y="{18 * i + 13}">{html.escape(k[:30])}</text><rect x="220" y="{18 * i + 2}" width="{400 * abs(v) / most:.1f}" height="14" fill="#3b6ea5"/>' for i, (k, v) in enumerate(points)
     )
-    return f'<svg width="640" height="{18 * len(values) + 4}" font-size="12">{rows}</svg>'
+    return _svg(rows, 18 * len(points) + 4)
+
+
+def _curve(points: list[tuple[str, float]], filled: bool) -> str:
+    """One place per row, in order, with the ends labelled."""
+    y = _scale([0.0, *(v for _, v in points)], HIGH - 30, 10)
+    step = (WIDE - LEFT - 20) / max(1, len(points) - 1)
+    line = " ".join(f"{LEFT + step * i:.1f},{y(v):.1f}" for i, (_, v) in enumerate(points))
+    area = f'<polygon points="{LEFT},{y(0):.1f} {line} {LEFT + step * (len(points) - 1):.1f},{y(0):.1f}" fill="#3b6ea5" opacity="0.3"/>' if filled else ""
+    ends = f'<text x="{LEFT}" y="{HIGH - 8}">{html.escape(points[0][0][:20])}</text><text x="{WIDE - 20}" y="{HIGH - 8}" text-anchor="end">{html.escape(points[-1][0][:20])}</text>'
+    return _svg(f'{area}<polyline points="{line}" fill="none" stroke="#3b6ea5" stroke-width="2"/>{ends}')
+
+
+def _slices(points: list[tuple[str, float]]) -> str:
+    whole, turned, out = sum(max(v, 0) for _, v in points) or 1, 0.0, ""
+    place = lambda share: (120 + 100 * math.sin(2 * math.pi * share), 120 - 100 * math.cos(2 * math.pi * share))
+    for i, (name, v) in enumerate(points):
+        share = min(max(v, 0) / whole, 0.9999)  # a whole circle has no beginning
+        (x0, y0), (x1, y1) = place(turned), place(turned + share)
+        shade = f"hsl({(i * 47) % 360} 45% 50%)"
+        out += f'<path d="M120,120 L{x0:.1f},{y0:.1f} A100,100 0 {int(share > 0.5)} 1 {x1:.1f},{y1:.1f} Z" fill="{shade}"/><rect x="260" y="{18 * i + 6}" width="12" height="12" fill="{shade}"/>'
+        out += f'<text x="280" y="{18 * i + 16}">{html.escape(name[:40])} {100 * max(v, 0) / whole:.1f}%</text>'
+        turned += share
+    return _svg(out, max(HIGH, 18 * len(points) + 10))
+
+
+def _dots(points: list[tuple[float, float]]) -> str:
+    x, y = _scale([p[0] for p in points], LEFT, WIDE - 20), _scale([p[1] for p in points], HIGH - 20, 10)
+    return _svg("".join(f'<circle cx="{x(a):.1f}" cy="{y(b):.1f}" r="2" fill="#3b6ea5" opacity="0.5"/>' for a, b in points))
+
+
+def _boxes(rows: list[dict], name: str) -> str:
+    """Whiskers from the least to the largest value, a box between the quartiles, a line at the median."""
+    x, out = _scale([r[k] for r in rows for k in ("min", "max")], 200, WIDE - 20), ""
+    for i, r in enumerate(rows):
+        top, at = 26 * i + 4, {k: x(r[k]) for k in ("min", "q1", "median", "q3", "max")}
+        out += f'<text x="0" y="{top + 14}">{html.escape(str(r[name])[:28])}</text><line x1="{at["min"]:.1f}" x2="{at["max"]:.1f}" y1="{top + 9}" y2="{top + 9}" stroke="#333"/>'
+        out += f'<rect x="{at["q1"]:.1f}" y="{top}" width="{max(1, at["q3"] - at["q1"]):.1f}" height="18" fill="#9db8d6"/><line x1="{at["median"]:.1f}" x2="{at["median"]:.1f}" y1="{top}" y2="{top + 18}" stroke="#1d3d63" stroke-width="2"/>'
+    return _svg(out, 26 * len(rows) + 8)
+
+
+def figure(spec: dict) -> str:
+    """The drawing of a specification by its mark; nothing where no row has a number."""
+    rows, x, y, mark = spec["values"], spec["x"], spec["y"], spec["mark"]
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)
+    if mark == "box":
+        known = [r for r in rows if all(number(r.get(k)) for k in ("min", "q1", "median", "q3", "max"))]
+        return _boxes(known, x) if known else ""
+    if mark == "point":
+        known = [(r[x], r[y]) for r in rows if number(r.get(x)) and number(r.get(y))]
+        return _dots(known) if known else ""
+    known = [(str(r[x]), float(r[y])) for r in rows if number(r.get(y))]
+    if not known:
+        return ""
+    if mark in ("line", "area"):
+        return _curve(known, mark == "area")
+    return _slices(known) if mark == "arc" else _bars(known[:50])
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A text, such as SQL or a report, as one file in a folder of any file system that Spark can write."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def html_dashboard(data: Dataset, config: cards.Config) -> str:
@@ -68,7 +139,7 @@ def html_dashboard(data: Dataset, config: cards.Config) -> str:
                 shown = f"<p class='value'>{html.escape(cards.format_value(result.value))}</p>"
             else:
                 spec = chart_spec(card.kind, card.title, result.audit)
-                shown = _bars(spec) + f"<script type='application/json'>{json.dumps(spec, default=str).replace('<', chr(92) + 'u003c')}</script>"
+                shown = figure(spec) + f"<script type='application/json'>{json.dumps(spec, default=str).replace('<', chr(92) + 'u003c')}</script>"
             parts.append(f"<article><h2>{html.escape(card.title)}</h2>{shown}<p>{html.escape(result.calculation)}</p>{_table(result.audit)}</article>")
     finally:
         df.unpersist()

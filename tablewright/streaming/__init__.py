@@ -1,4 +1 @@
-"""Continuous inputs. The workbench's operators work on whole tables; a stream reaches them batch by batch.
-
-No operator here keeps state between batches: ``foreachBatch`` hands each batch to the same code that tables use.
-"""
+"""Continuous inputs: a folder's new files, cleaned by a recipe and appended, and counts per window of time."""

@@ -12,13 +12,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.dataset import LoadError, Limits, from_frame
-from tablewright.operators import cards, cleaning, profile, roles
+from tablewright.operators import cards, charts, cleaning, profile, roles
+from tablewright.operators.charts import chart_spec
 from tablewright.operators.query import QuerySpec, run_query
 from tablewright.operators.stats import TableStats
 from tablewright.plans import sqlguard
 from tablewright.sinks import files, records
 from tablewright.sources import csv as csv_source
 from tablewright.sources.load import load
+from tablewright.sources.sample import sample
+from tablewright.streaming import follow
 
 
 def workbook(path, rows, extra_parts=0, types=True):
@@ -309,6 +312,38 @@ def test_report_and_pages_escape(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out")).count() == 3
 
 
+def test_figures_per_kind(spark, tmp_path):
+    data = sample(spark)
+    df = data.frame
+    made = {
+        "rect": chart_spec("category_count", "t", charts.category_count(df, "segment")), "path": chart_spec("pie", "t", charts.pie(df, "segment")),
+        "polyline": chart_spec("time_series", "t", charts.time_series(df, "last_contact", "monthly_spend")), "polygon": chart_spec("time_area", "t", charts.time_area(df, "last_contact", "monthly_spend")),
+        "circle": chart_spec("scatter", "t", charts.scatter(df, "monthly_spend", "satisfaction_score")), "line": chart_spec("box", "t", charts.box(df, "monthly_spend", "segment")),
+    }
+    for mark, spec in made.items():
+        assert f"<{mark} " in files.figure(spec) and "nan" not in files.figure(spec), mark
+    assert files.figure(made["circle"]).count("<circle") == 6 and files.figure({**made["rect"], "values": []}) == ""
+    files.write_text(spark, "SELECT 1;\n-- é", str(tmp_path / "q"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "q")).collect()] == ["SELECT 1;", "-- é"]
+    assert profile.profile(data).duplicate_rows == 1
+
+
+def test_streams(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.range(60).select(F.concat(F.lit(" a"), F.col("id") % 3).alias("k"), (F.lit("2025-01-01").cast("timestamp") + F.make_dt_interval(mins=(F.col("id") * 5).cast("int"))).alias("t"))
+    df.filter("k <> ' a2'").write.parquet(source)
+    steps = [[cleaning.CleaningAction("trim_whitespace", "k")]]
+    stream = lambda: follow.cleaned(follow.arriving(spark, source, "k string, t timestamp"), steps)
+    follow.append(stream(), out, str(tmp_path / "c1")).awaitTermination()
+    df.filter("k = ' a2'").write.mode("append").parquet(source)
+    follow.append(stream(), out, str(tmp_path / "c1")).awaitTermination()
+    assert sorted((r.k, r["count"]) for r in spark.read.parquet(out).groupBy("k").count().collect()) == [("a0", 20), ("a1", 20), ("a2", 20)]
+    follow.append(follow.counts(stream(), "t", "k"), str(tmp_path / "n"), str(tmp_path / "c2")).awaitTermination()
+    assert {r["count"] for r in spark.read.parquet(str(tmp_path / "n")).collect()} == {4}
+    with pytest.raises(cleaning.CleaningError):
+        follow.cleaned(stream(), [[cleaning.CleaningAction("drop_duplicates")]])
+
+
 def test_same_result_with_other_partitions(spark):
     df = spark.range(1000).select((F.col("id") % 7).cast("string").alias("k"), F.when(F.col("id") % 11 != 0, F.col("id").cast("double")).alias("v"))
     one, many = from_frame(df.coalesce(1)), from_frame(df.repartition(8))
