@@ -9,7 +9,7 @@ consecutive ones that are at least two and have ``least_words`` words is hashed.
 passage gives the same runs wherever it stands, and they cover all that the longer runs inside it would. Runs are joined
 globally; of each the first place (smallest id, then position) stays, and in all others the sentences it covers are removed.
 
-Runs are named by 64 bits of a hash, and 32 of another one and their number of words as a check.
+Runs are named by 64 bits of a hash, and not compared word by word.
 
 Counts of a hash are combined before the shuffle, and only hashes that occur twice are joined back, so a passage that a
 third of all texts share costs one row per task in the first shuffle; its second is a plain join that Spark
@@ -17,7 +17,7 @@ can split.
 
 Defined results: a null or empty text has no sentences; an empty table gives no rows; rows without an id are never the first
 place unless there is no other, and are reported under the null id; rows that share an id count each by its own text, as do rows
-without one, and the first place of a run is one (id, text, start), so an exact repeat of a row keeps both; letters' case and
+without one, and the first place of a run is one (id, start), or (text, start) without an id, so an exact repeat of a row keeps both; letters' case and
 the kind of blanks don't matter; very long texts and many spans cost in proportion; further input columns, whatever their
 names, are ignored by ``repeated_spans`` and carried by ``remove_repeats``.
 """
@@ -104,10 +104,10 @@ def sentences(text: str, piece: int) -> list[tuple[int, int, list[bytes]]]:
 
 
 def runs(texts: list[str], least_words: int, piece: int) -> tuple[np.ndarray, ...]:
-    """(text, start, end, hash, check) of every run of some texts."""
+    """(text, start, end, hash) of every run of some texts."""
     _, hashes, size, begin, end, owner = units(texts, piece)
     if not len(size):
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int32))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     edges = np.concatenate([[0], np.cumsum(size)])
     # A hash of a run of words from prefix sums of word hashes scrambled with their places: equal runs at different
     # places must agree, so each sentence is hashed on its own first and runs combine the sentences' hashes in order.
@@ -115,15 +115,12 @@ def runs(texts: list[str], least_words: int, piece: int) -> tuple[np.ndarray, ..
     sentence = np.add.reduceat(mix(hashes + mix(local.astype(np.uint64) + np.uint64(1))), edges[:-1])
     first, last = ends_of_runs(edges, owner, least_words)
     state, live = mix(sentence[first]), np.arange(len(first))
-    other = np.add.reduceat(mix(hashes ^ mix(local.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))), edges[:-1])
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(other))])  # the check needs no order: the hash has it
-    check = mix(sums[last + 1] - sums[first] + (edges[last + 1] - edges[first]).astype(np.uint64))
     step = 0
     while len(live):  # each round adds one more sentence to the runs that are still short
         step += 1
         live = live[first[live] + step <= last[live]]
         state[live] = mix(state[live] + mix(sentence[first[live] + step] + np.uint64(1)))
-    return owner[first], begin[first], end[last], state, (check >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return owner[first], begin[first], end[last], state
 
 
 def ends_of_runs(edges: np.ndarray, owner: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,20 +136,20 @@ def ends_of_runs(edges: np.ndarray, owner: np.ndarray, least_words: int) -> tupl
 
 
 def span_rows(docs: DataFrame, least_words: int, piece: int) -> DataFrame:
-    """id, dig, h, c, s, e for every run; ``docs`` has id, text and dig (of the text)."""
+    """id, dig, h, s, e for every run; ``docs`` has id, text and dig (of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in texts_of(batch):
-                owner, begin, end, state, check = runs(texts, least_words, piece)
+                owner, begin, end, state = runs(texts, least_words, piece)
                 own = pa.array(owner + start)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(own), batch.column(2).take(own), pa.array(signed(state)), pa.array(check), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))],
-                    ["id", "dig", "h", "c", "s", "e"],
+                    [batch.column(0).take(own), batch.column(2).take(own), pa.array(signed(state)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))],
+                    ["id", "dig", "h", "s", "e"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", "dig").mapInArrow(run, f"id {kind}, dig long, h long, c int, s int, e int")
+    return docs.select("id", "text", "dig").mapInArrow(run, f"id {kind}, dig long, h long, s int, e int")
 
 
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +178,11 @@ def removed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = of(docs, text_col).cast("string")
     plain = docs.select(of(docs, id_col).alias("id"), text.alias("text"), digest_of(text).alias("dig"))
     rows = span_rows(plain, least_words, piece)
-    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "dig", "s")
-    twice = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
-    twice = durable(twice.select("h", "c", "first"))  # so that the join has a shuffle of its own on either side, of which Spark splits hot keys
-    again = rows.join(twice, ["h", "c"]).filter(place != F.col("first"))
+    text_of = F.when(F.col("id").isNull(), F.col("dig").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0))  # tells texts without an id apart
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(text_of).alias("at"))
+    twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    twice = durable(twice.select("h", "first"))  # so that the join has a shuffle of its own on either side, of which Spark splits hot keys
+    again = rows.join(twice, "h").filter(place != F.col("first"))
     held = F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long"))
     found = again.groupBy("id", "dig").agg(F.array_sort(F.collect_set(held)).alias("places"), F.array_sort(F.collect_set("first.id")).alias("first_docs"))
     found = found.mapInArrow(stretches, found.schema)
