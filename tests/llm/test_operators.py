@@ -517,6 +517,24 @@ def test_fingerprints_are_near_for_near_windows(spark):
     assert max(x.d for x in out) <= 24 and all(abs(x.s - 38 / 42) < 1e-9 for x in out)
 
 
+def test_recall_of_the_radius_at_the_threshold(spark):
+    """Of pairs just at the threshold, 6/7 of whose shingles are shared, at least 98 of 100 lie within the radius of 19 and are found by the index."""
+    r = random.Random(3)
+    rows = []
+    for i in range(600):
+        m = r.choice([7, 14, 28, 56, 98])
+        own = [r.getrandbits(63) for _ in range(m)]
+        rows.append((i, m, own, own[: 6 * m // 7] + [r.getrandbits(63) for _ in range(m - 6 * m // 7)]))
+    df = spark.createDataFrame(rows, "i long, n int, a array<long>, b array<long>")
+    assert {round(x.s, 9) for x in df.select(decontaminate.similarity(F.col("a"), F.col("b")).alias("s")).collect()} == {0.75}
+    away = F.bit_count(decontaminate.fingerprint(F.col("a")).bitwiseXOR(decontaminate.fingerprint(F.col("b"))))
+    near = {x.i for x in df.filter(away <= 19).collect()}
+    items = df.filter("i < 40").select(F.col("i").alias("item"), "n", F.col("a").alias("sh"))
+    prints = df.filter("i < 40").select(F.col("i").alias("key"), F.col("n").alias("size"), decontaminate.fingerprint(F.col("b")).alias("fp"))
+    found = {(x.key, x.item) for x in decontaminate.close_pairs(prints, items, 19).collect()}
+    assert len(near) >= 0.98 * len(rows) and {(i, i) for i in near if i < 40} <= found
+
+
 # ---- Repeated spans --------------------------------------------------------------------------------------------------
 
 
